@@ -49,15 +49,17 @@ def plan_bytes(df: DataFrame) -> int:
 BROADCAST_LIMIT_BYTES = 32 << 20
 
 
-def lookup_join(facts: DataFrame, dim: DataFrame, keys: list[str], salt_from: str, salts: int = 64) -> DataFrame:
-    """Left join of a large table with a per-key table.
+def lookup_join(
+    facts: DataFrame, dim: DataFrame, keys: list[str], salt_from: str, salts: int = 64, how: str = "left"
+) -> DataFrame:
+    """Join of a large table with a lookup table.
 
     The dimension is broadcast only when its estimated size is below
     ``BROADCAST_LIMIT_BYTES``. Beyond that both sides are salted, so that a key
     holding a large share of the facts is spread over ``salts`` tasks.
     """
     if plan_bytes(dim) <= BROADCAST_LIMIT_BYTES:
-        return facts.join(F.broadcast(dim), keys, "left")
+        return facts.join(F.broadcast(dim), keys, how)
     salted_dim = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = facts.withColumn("_salt", F.pmod(F.xxhash64(salt_from), F.lit(salts)).cast("int"))
-    return salted.join(salted_dim, [*keys, "_salt"], "left").drop("_salt")
+    return salted.join(salted_dim, [*keys, "_salt"], how).drop("_salt")
