@@ -160,3 +160,8 @@ def hour_bucket(seconds: Column) -> Column:
 
 def day_bucket(seconds: Column) -> Column:
     return F.floor(seconds / F.lit(86400))
+
+
+def base64_text(raw: Column) -> Column:
+    """Base64 in one line."""
+    return F.translate(F.base64(raw), "\r\n", "")

@@ -236,30 +236,27 @@ def train_models(vectors: DataFrame, models: DataFrame) -> DataFrame:
 # --- expression-only twin ---------------------------------------------------
 
 
-def _dense(x: Column, weights: Column, bias: Column, relu: bool) -> Column:
+def _dense(x: Column, layer: Column) -> Column:
     def unit(row: Column, i: Column) -> Column:
         products = F.zip_with(row, x, lambda a, b: a * b)
-        z = F.aggregate(products, F.lit(0.0), lambda a, p: a + p) + F.get(bias, i)
-        return F.greatest(z, F.lit(0.0)) if relu else z
+        z = F.aggregate(products, F.get(layer["bias"], i), lambda a, p: a + p)
+        return F.greatest(z, layer["lowest"])
 
-    return F.transform(weights, unit)
+    return F.transform(layer["weights"], unit)
 
 
 def score_windows_sql(vectors: DataFrame, layers: DataFrame, bits: int = ordered.BLOCK_BITS) -> DataFrame:
-    """The same score from array expressions alone, for checks and small data."""
-    wide = layers.groupBy("device_mac").agg(
-        *[
-            F.max(F.when(F.col("layer") == l, F.struct("weights", "bias"))).alias(f"_l{l}")
-            for l in range(len(SIZES))
-        ]
+    """The same score from array expressions alone, for checks and small data.
+
+    The vector is folded over the eight layers of its model; the lowest output
+    of a layer is 0 with a ReLU and unbounded without.
+    """
+    lowest = F.when(F.col("layer").isin(sorted(LINEAR_LAST)), F.lit(float("-inf"))).otherwise(F.lit(0.0))
+    stacked = layers.groupBy("device_mac").agg(
+        F.array_sort(F.collect_list(F.struct("layer", lowest.alias("lowest"), "weights", "bias"))).alias("_layers")
     )
-    df = ordered.attach(ordered.with_block(vectors, "vec_seq", bits), wide, ["device_mac"]).withColumn("_x", F.col("vector"))
-    for l in range(len(SIZES)):
-        df = df.withColumn(f"_x{l}", _dense(F.col("_x" if l == 0 else f"_x{l - 1}"), F.col(f"_l{l}.weights"), F.col(f"_l{l}.bias"), l not in LINEAR_LAST))
-    last = f"_x{len(SIZES) - 1}"
-    squares = F.zip_with(F.col(last), F.col("vector"), lambda a, b: (a - b) * (a - b))
+    rows = ordered.attach(ordered.with_block(vectors, "vec_seq", bits), stacked, ["device_mac"])
+    output = F.aggregate("_layers", F.col("vector"), _dense)
+    squares = F.zip_with(output, F.col("vector"), lambda a, b: (a - b) * (a - b))
     error = F.aggregate(squares, F.lit(0.0), lambda a, s: a + s) / F.lit(float(LAYERS[0]))
-    return df.select("device_mac", "vec_seq", error.alias("score"))
-
-
-
+    return rows.select("device_mac", "vec_seq", error.alias("score"))

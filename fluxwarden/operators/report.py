@@ -61,7 +61,7 @@ def device_report(state: DataFrame) -> DataFrame:
         F.when(collect, F.col("distinct_hour_buckets")).alias("distinct_hour_buckets"),
         F.when(collect, F.col("distinct_day_buckets")).alias("distinct_day_buckets"),
         F.when(train, F.col("threshold")).alias("threshold"),
-        F.when(train, F.base64("model")).alias("model_base64"),
+        F.when(train, S.base64_text(F.col("model"))).alias("model_base64"),
     )
     return state.select("device_mac", report.alias("ml"))
 

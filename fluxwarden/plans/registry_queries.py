@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
 from ..operators import alerts as A, report as RP, rules as RU, scoring as SC, training as TR
 from ..sources import stores
 from .fixtures import duck, table, view
@@ -25,19 +26,7 @@ def _counts(df):
 
 def activity_buckets(spark, sf):
     frames = view(spark, sf, "packets").select("seq", F.floor(F.col("ts_us") / 1_000_000).alias("s"))
-    return frames.select("seq", TR_hour("s"), TR_day("s"))
-
-
-def TR_hour(c):
-    from ..functions.scalars import hour_bucket
-
-    return hour_bucket(F.col(c)).alias("hour_bucket")
-
-
-def TR_day(c):
-    from ..functions.scalars import day_bucket
-
-    return day_bucket(F.col(c)).alias("day_bucket")
+    return frames.select("seq", S.hour_bucket(F.col("s")).alias("hour_bucket"), S.day_bucket(F.col("s")).alias("day_bucket"))
 
 
 def training_progress(spark, sf):

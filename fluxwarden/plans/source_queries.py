@@ -6,7 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import logs, models as M, packets as P, thresholds as TH
+from ..functions import scalars as S
+from ..operators import logs, models as M, packets as P
 from ..session import shared_dir
 from ..sources import captures as C, files, stores
 from . import synthetic
@@ -64,7 +65,7 @@ def device_registry(spark, sf):
         ))))).alias("value")
     )
     parsed = document.select("site", F.posexplode(F.map_keys(files.registry_from_json(F.col("value")))).alias("position", "mac"))
-    return parsed.select("site", F.col("position").cast("long").alias("position"), files.S.mac_key(F.col("mac")).alias("device_mac"))
+    return parsed.select("site", F.col("position").cast("long").alias("position"), S.mac_key(F.col("mac")).alias("device_mac"))
 
 
 def read_alerts(spark, sf):
@@ -95,7 +96,7 @@ def _doc_lines(spark, sf):
 
 def log_tail(spark, sf):
     return logs.bundle(logs.log_tail(_doc_lines(spark, sf), 5)).select(
-        "file", "text", F.base64(F.col("text").cast("binary")).alias("encoded")
+        "file", "text", S.base64_text(F.col("text").cast("binary")).alias("encoded")
     )
 
 
@@ -105,7 +106,7 @@ def log_lines(spark, sf):
 
 def artifact_digest(spark, sf):
     return table(spark, sf, "documents").select(
-        "doc_id", F.sha2("text", 256).alias("digest"), F.base64(F.col("text").cast("binary")).alias("encoded")
+        "doc_id", F.sha2("text", 256).alias("digest"), S.base64_text(F.col("text").cast("binary")).alias("encoded")
     )
 
 
