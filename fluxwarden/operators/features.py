@@ -136,7 +136,8 @@ def window_features(packets: DataFrame, bits: int = ordered.BLOCK_BITS, carry: D
     """All 45 features per (capture, device, window).
 
     ``carry`` may hold the last row ``(device_mac, carry_ts_us, carry_flow_a,
-    carry_flow_b)`` of what was processed before, as a stream needs it.
+    carry_flow_b)`` of what was processed before, as a stream needs it; the
+    result then also has the last row of every window.
 
     The first row of a window has, in general, an inter-arrival time of 0: the
     window before ends later. Only where the first 40 s of a window are empty is
@@ -210,3 +211,14 @@ def window_features(packets: DataFrame, bits: int = ordered.BLOCK_BITS, carry: D
 
 def feature_vector(features: DataFrame, name: str = "vector") -> DataFrame:
     return features.withColumn(name, F.array(*[F.col(c).cast("double") for c in FEATURES])).drop(*FEATURES)
+
+
+CARRY_SCHEMA = "device_mac string, carry_ts_us long, carry_flow_a long, carry_flow_b long"
+
+
+def next_carry(features: DataFrame) -> DataFrame:
+    """Last row of each device's last window, for the captures to come."""
+    order = F.struct("capture_id", "windowid")
+    return features.groupBy("device_mac").agg(
+        *[F.max_by(f"last_{c}", order).alias(f"carry_{c}") for c in ("ts_us", "flow_a", "flow_b")]
+    )

@@ -24,7 +24,7 @@ FILE_HEADER = 24
 RECORD_HEADER = 16
 EXTRA_HEADER = 8
 BATCH_FRAMES = 4096
-FRAME_SCHEMA = "capture_id long, seq long, ts_us long, frame binary, read_error string"
+FRAME_SCHEMA = "seq long, ts_us long, frame binary, read_error string"
 
 
 def admission(captures: DataFrame) -> DataFrame:
@@ -46,8 +46,20 @@ def admission(captures: DataFrame) -> DataFrame:
 
 def scan_files(spark: SparkSession, path: str) -> DataFrame:
     """Capture files as rows; one file is one task, so keep files below 1 GB."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select(F.xxhash64("path").alias("capture_id"), "path", "modificationTime", "content")
+    return with_capture_id(spark.read.format("binaryFile").load(path))
+
+
+def stream_files(spark: SparkSession, path: str, per_trigger: int = 64) -> DataFrame:
+    """New capture files of a folder as a stream."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    files = spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", per_trigger).load(path)
+    return with_capture_id(files)
+
+
+def with_capture_id(files: DataFrame) -> DataFrame:
+    """Unique ids that sort by arrival."""
+    arrival = F.lpad(F.unix_millis("modificationTime").cast("string"), 14, "0")
+    return files.select(F.concat_ws(" ", arrival, "path").alias("capture_id"), "path", "modificationTime", "content")
 
 
 def split_records(captures: DataFrame) -> DataFrame:
@@ -56,7 +68,8 @@ def split_records(captures: DataFrame) -> DataFrame:
     A record body that ends early gives a short frame, a record header that ends
     early or an unreadable file gives one row with ``read_error``.
     """
-    return captures.select("capture_id", "content").mapInPandas(_split, FRAME_SCHEMA)
+    id_type = captures.schema["capture_id"].dataType.simpleString()
+    return captures.select("capture_id", "content").mapInPandas(_split, f"capture_id {id_type}, {FRAME_SCHEMA}")
 
 
 def _split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -65,12 +78,12 @@ def _split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield from _frames(capture_id, memoryview(content))
 
 
-def _frames(capture_id: int, data: memoryview) -> Iterator[pd.DataFrame]:
+def _frames(capture_id, data: memoryview) -> Iterator[pd.DataFrame]:
     rows: list[tuple] = []
 
     def flush() -> pd.DataFrame:
         return pd.DataFrame(rows, columns=["capture_id", "seq", "ts_us", "frame", "read_error"]).astype(
-            {"capture_id": "int64", "seq": "int64", "ts_us": "Int64"}
+            {"seq": "int64", "ts_us": "Int64"}
         )
 
     known = MAGICS.get(bytes(data[:4]).hex().upper())

@@ -59,12 +59,12 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 def write_snapshot(df: DataFrame, root: str, version: int) -> str:
     target = f"{root}/version={version:012d}"
-    df.write.mode("errorifexists").parquet(target)
+    df.write.mode("overwrite").parquet(target)
     return target
 
 
-def newest_snapshot(spark: SparkSession, root: str) -> tuple[int, DataFrame] | None:
-    """Version and rows of the newest finished snapshot."""
+def newest_snapshot(spark: SparkSession, root: str, before: int | None = None) -> tuple[int, DataFrame] | None:
+    """Version and rows of the newest finished snapshot, optionally below a version."""
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(root)
     fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -74,10 +74,11 @@ def newest_snapshot(spark: SparkSession, root: str) -> tuple[int, DataFrame] | N
         s.getPath() for s in fs.listStatus(folder)
         if s.isDirectory() and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))
     ]
-    if not done:
+    versions = {int(p.getName().split("=")[1]): p.toString() for p in done}
+    usable = [v for v in versions if before is None or v < before]
+    if not usable:
         return None
-    path = max(done, key=lambda p: p.getName())
-    return int(path.getName().split("=")[1]), spark.read.parquet(path.toString())
+    return max(usable), spark.read.parquet(versions[max(usable)])
 
 
 def status_to_json(status: DataFrame) -> DataFrame:
