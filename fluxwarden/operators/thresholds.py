@@ -1,13 +1,14 @@
 """Anomaly thresholds per device from the distribution of its training scores.
 
-A strategy takes ``(device_mac, score)`` rows and returns ``(device_mac,
-threshold)``. ``final_threshold`` tries the strategies in order and gates the
+A strategy takes ``(device_mac, score)`` rows, or a prepared ``ScoreSet``, and
+returns ``(device_mac, threshold)``. ``final_threshold`` tries the strategies in order and gates the
 result by percentiles.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -35,10 +36,39 @@ THRESHOLD_VERSION = "0.9"
 PART_SCORES = 4096
 
 
+@dataclass(frozen=True)
+class ScoreSet:
+    """Scores with what every strategy needs, computed once.
+
+    ``ranks`` holds the distinct scores with counts and ranks, ``stats`` one row
+    of moments per device. Both are written to the shared folder: the threshold
+    search reads them many times.
+    """
+
+    scores: DataFrame
+    ranks: DataFrame
+    stats: DataFrame
+
+    def only(self, devices: DataFrame) -> ScoreSet:
+        return ScoreSet(
+            self.scores.withColumn(OS.BLOCK, OS.value_bucket(F.col("score"))).transform(
+                lambda df: ordered.attach(df, devices, KEYS, how="inner").drop(OS.BLOCK)
+            ),
+            ordered.attach(self.ranks, devices, KEYS, how="inner"),
+            self.stats.join(devices, KEY, "left_semi"),
+        )
+
+
 def ranked_scores(scores: DataFrame) -> DataFrame:
     return OS.ranked(OS.counted(scores, KEYS, "score"), KEYS, "score")
 
 
+def prepare(scores: DataFrame | ScoreSet) -> ScoreSet:
+    if isinstance(scores, ScoreSet):
+        return scores
+    return ScoreSet(scores, cut_lineage(ranked_scores(scores)), cut_lineage(moments(scores)))
+
+
 def moments(scores: DataFrame) -> DataFrame:
     return scores.groupBy(KEY).agg(
         F.count(F.lit(1)).alias("n"),
@@ -61,26 +91,27 @@ def _order_statistics(ranks: DataFrame) -> DataFrame:
     )
 
 
-def profile(scores: DataFrame) -> DataFrame:
+def profile(scores: DataFrame | ScoreSet) -> DataFrame:
     """Count, moments, percentiles and median absolute deviation per device."""
-    ranks = ranked_scores(scores)
-    stats = _order_statistics(ranks)
+    known = prepare(scores)
+    ranks = known.ranks
+    stats = cut_lineage(_order_statistics(ranks))
     centred = ordered.attach(ranks.select(KEY, "score", "n", OS.BLOCK), stats.select(KEY, "median"), KEYS)
     mad = OS.weighted_median_deviation(centred, KEYS, "score", "median")
-    return moments(scores).join(stats, KEY).join(mad, KEY)
+    return known.stats.join(stats, KEY).join(mad, KEY)
 
 
 # --- trimming and subsets ---------------------------------------------------
 
 
-def trimmed(scores: DataFrame) -> DataFrame:
+def trimmed(scores: DataFrame | ScoreSet) -> DataFrame:
     """Counted scores without the top 1 % and without isolated highest values.
 
     After the cut at rank ceil(0.99 n), the highest value goes while it exceeds
     1.1 times the next lower one, at most max(1, floor(0.01 n)) times. ``n`` and
     ``total`` describe what is left.
     """
-    ranks = ranked_scores(scores)
+    ranks = prepare(scores).ranks
     cut = F.ceil(F.col("total") * F.lit(0.99))
     kept = ranks.filter(F.col("below") < cut).withColumn("n", F.least(F.col("n"), cut - F.col("below")))
     holds = (F.col("n") > 1) | F.col("prev_value").isNull() | (F.col("score") <= F.col("prev_value") * 1.1)
@@ -105,7 +136,7 @@ def trimmed(scores: DataFrame) -> DataFrame:
 
 def outlier_subset(scores: DataFrame) -> DataFrame:
     """Scores above the one at rank floor(0.6 n), as counted rows."""
-    ranks = ranked_scores(scores)
+    ranks = prepare(scores).ranks
     cut = ranks.groupBy(KEY).agg(OS.at_index("score", F.floor(F.col("total") * F.lit(0.6))).alias("_cut"))
     rows = ordered.attach(ranks.select(KEY, "score", "n", OS.BLOCK), cut, KEYS)
     return rows.filter(F.col("score") > F.col("_cut")).select(KEY, "score", "n")
@@ -115,7 +146,7 @@ def outlier_subset(scores: DataFrame) -> DataFrame:
 
 
 def kernel_density(
-    scores: DataFrame, factor: float, size: int = GRID, observed_range: bool = False
+    scores: DataFrame | ScoreSet, factor: float, size: int = GRID, observed_range: bool = False
 ) -> DataFrame:
     """Gaussian kernel density on an even grid: ``(device_mac, pos, x, pdf)``.
 
@@ -124,7 +155,8 @@ def kernel_density(
     NumPy, and the vectors are added up by Spark. A device of any size is so
     shared by as many tasks as it needs.
     """
-    stats = moments(scores)
+    known = prepare(scores)
+    stats = known.stats
     low = F.col("min") if observed_range else F.lit(0.0)
     high = F.col("max") if observed_range else F.lit(1.0)
     grid = stats.select(
@@ -134,12 +166,11 @@ def kernel_density(
         low.alias("_lo"),
         ((high - low) / F.lit(size - 1)).alias("_step"),
     ).filter((F.col("_h") > 0) & (F.col("_step") > 0))
-    rows = OS.counted(scores, KEYS, "score").withColumn(OS.BLOCK, OS.value_bucket(F.col("score")))
-    rows = ordered.attach(rows, grid, KEYS, how="inner")
+    rows = ordered.attach(known.ranks.select(KEY, "score", "n", OS.BLOCK), grid, KEYS, how="inner")
     parts = F.ceil(F.col("_total") / F.lit(PART_SCORES))
     spread = (
         rows.withColumn("_part", F.pmod(F.xxhash64("score"), parts))
-        .repartition(_compute_partitions(scores), KEY, "_part")
+        .repartition(_compute_partitions(rows), KEY, "_part")
         .select(KEY, "score", "n", "_h", "_lo", "_step")
         .sortWithinPartitions(KEY)
     )
@@ -193,12 +224,13 @@ def _normalised(density: DataFrame) -> DataFrame:
     return density.withColumn("mass", F.col("pdf") / F.sum("pdf").over(Window.partitionBy(KEY)))
 
 
-def region_threshold(scores: DataFrame) -> DataFrame:
+def region_threshold(scores: DataFrame | ScoreSet) -> DataFrame:
     """Right edge of the densest region holding 99 % of the mass.
 
     Islands with less than 5 % are ignored unless there is nothing else.
     """
-    grid = _normalised(kernel_density(scores, REGION_BANDWIDTH))
+    known = prepare(scores)
+    grid = _normalised(kernel_density(known, REGION_BANDWIDTH))
     densest = Window.partitionBy(KEY).orderBy(F.col("pdf").desc(), "pos")
     cumulated = grid.withColumn("_cum", F.sum("mass").over(densest.rowsBetween(Window.unboundedPreceding, 0)))
     level = F.max(F.when(F.col("_cum") >= REGION_MASS, F.col("pdf"))).over(Window.partitionBy(KEY))
@@ -209,18 +241,19 @@ def region_threshold(scores: DataFrame) -> DataFrame:
     )
     found = edges.select(KEY, (F.coalesce("_kept", "_largest") / F.lit(float(GRID - 1))).alias("_edge"))
     # Without spread there is no density; the 99th percentile takes its place.
-    fallback = ranked_scores(scores).groupBy(KEY).agg(OS.quantile("score", REGION_MASS).alias("_q"))
+    fallback = known.ranks.groupBy(KEY).agg(OS.quantile("score", REGION_MASS).alias("_q"))
     return fallback.join(found, KEY, "left").select(KEY, F.coalesce("_edge", "_q").alias("threshold"))
 
 
-def valley_threshold(scores: DataFrame) -> DataFrame:
+def valley_threshold(scores: DataFrame | ScoreSet) -> DataFrame:
     """Middle of the neighbouring distinct scores with the sharpest density drop."""
-    density = kernel_density(scores, 1.0, POINT_GRID, observed_range=True)
+    known = prepare(scores)
+    density = cut_lineage(kernel_density(known, 1.0, POINT_GRID, observed_range=True))
     pairs = density.select(KEY, F.col("pos").alias("_j"), F.col("pdf").alias("_f0")).join(
         density.select(KEY, (F.col("pos") - 1).alias("_j"), F.col("pdf").alias("_f1")), [KEY, "_j"], "full_outer"
     ).na.fill(0.0, ["_f0", "_f1"])
-    bounds = moments(scores).select(KEY, F.col("min").alias("_lo"), F.col("max").alias("_hi"))
-    rows = ordered.attach(ranked_scores(scores), bounds, KEYS)
+    bounds = known.stats.select(KEY, F.col("min").alias("_lo"), F.col("max").alias("_hi"))
+    rows = ordered.attach(known.ranks, bounds, KEYS)
     step = (F.col("_hi") - F.col("_lo")) / F.lit(POINT_GRID - 1)
 
     def with_density(df: DataFrame, value: str, out: str) -> DataFrame:
@@ -246,13 +279,14 @@ def valley_threshold(scores: DataFrame) -> DataFrame:
     )
 
 
-def connected_threshold(scores: DataFrame) -> DataFrame:
+def connected_threshold(scores: DataFrame | ScoreSet) -> DataFrame:
     """Right edge of the lowest density level at which the set above it is one piece.
 
     The k densest grid points are contiguous exactly while the span of their
     positions equals their number; equal densities enter together.
     """
-    grid = _normalised(kernel_density(scores, 1.0))
+    known = prepare(scores)
+    grid = _normalised(kernel_density(known, 1.0))
     densest = Window.partitionBy(KEY).orderBy(F.col("pdf").desc()).rangeBetween(Window.unboundedPreceding, 0)
     span = F.max("pos").over(densest) - F.min("pos").over(densest) + 1
     device = Window.partitionBy(KEY)
@@ -269,12 +303,12 @@ def connected_threshold(scores: DataFrame) -> DataFrame:
     )
     edge = F.when(F.col("_split_at").isNull(), F.lit(GRID - 1)).otherwise(F.coalesce("_edge", "_peak"))
     found = edges.join(peaks, KEY).select(KEY, (edge / F.lit(float(GRID - 1))).alias("_t"))
-    return moments(scores).select(KEY).join(found, KEY, "left").select(KEY, F.coalesce("_t", F.lit(1.0)).alias("threshold"))
+    return known.stats.select(KEY).join(found, KEY, "left").select(KEY, F.coalesce("_t", F.lit(1.0)).alias("threshold"))
 
 
-def gap_threshold(scores: DataFrame) -> DataFrame:
+def gap_threshold(scores: DataFrame | ScoreSet) -> DataFrame:
     """Inside the widest relative gap that leaves at most 3 % above it."""
-    rows = trimmed(scores)
+    rows = cut_lineage(trimmed(scores))
     left_share = (F.col("below") + F.col("n")) / F.col("total")
     gap = F.col("next_value") - F.col("score")
     weight = (gap / F.greatest("score", F.lit(1e-12))) / F.pow(
@@ -299,6 +333,7 @@ def gap_threshold(scores: DataFrame) -> DataFrame:
         F.coalesce("_best.g", F.lit(0.0)).alias("_g"),
         F.coalesce("_best.c", first_allowed).alias("_left"),
     )
+    split = cut_lineage(split)
     base = F.col("_s") + F.lit(GAP_POSITION) * F.col("_g")
     left = (
         ordered.attach(rows.select(KEY, "score", "n", "below", OS.BLOCK), split.select(KEY, "_left"), KEYS)
@@ -345,17 +380,15 @@ def needle_override(stats: DataFrame, base: str = "base", out: str = "override")
     return stats.withColumn(out, F.when(needle, moved).otherwise(b))
 
 
-def slow_increment(scores: DataFrame, start: DataFrame, factor: float) -> DataFrame:
+def slow_increment(scores: DataFrame | ScoreSet, start: DataFrame, factor: float) -> DataFrame:
     """Raise ``(device_mac, start)`` by ``factor`` until a step passes few scores.
 
     Step k covers the scores in [start * f^k, start * f^(k+1)). The result is
     start * f^k for the first step that covers at most floor(0.005 n) scores:
     the number of leading steps that cover more.
     """
-    counts = OS.counted(scores, KEYS, "score").withColumn(OS.BLOCK, OS.value_bucket(F.col("score")))
-    totals = scores.groupBy(KEY).agg(F.count(F.lit(1)).alias("_total"))
-    begin = start.join(totals, KEY)
-    rows = ordered.attach(counts, begin, KEYS, how="inner").filter(
+    ranks = prepare(scores).ranks.select(KEY, "score", "n", F.col("total").alias("_total"), OS.BLOCK)
+    rows = ordered.attach(ranks, start.select(KEY, "start"), KEYS, how="inner").filter(
         (F.col("start") > 0) & (F.col("score") >= F.col("start"))
     )
     step = F.floor(F.log(F.col("score") / F.col("start")) / F.lit(math.log(factor)))
@@ -373,38 +406,36 @@ def slow_increment(scores: DataFrame, start: DataFrame, factor: float) -> DataFr
     )
 
 
-def base_thresholds(scores: DataFrame) -> DataFrame:
+def base_thresholds(scores: DataFrame | ScoreSet) -> DataFrame:
     """First strategy whose value, raised by 20 %, is not exactly 0 or 1.
 
     Each further strategy runs only for the devices the one before left open.
     Results are one row per device and are written out between the rounds.
     """
-    spark = scores.sparkSession
-    settled, open_scores, open_devices = None, scores, None
+    known = prepare(scores)
+    settled = None
     for strategy in STRATEGIES:
-        value = strategy(open_scores).select(KEY, (F.col("threshold") * SAFETY).alias("base"))
-        value = cut_lineage(value)
+        value = cut_lineage(strategy(known).select(KEY, (F.col("threshold") * SAFETY).alias("base")))
         degenerate = F.col("base").isNull() | F.col("base").isin(0.0, 1.0)
         good = value.filter(~degenerate)
         settled = good if settled is None else settled.unionByName(good)
-        open_devices = value.filter(degenerate).select(KEY)
-        if open_devices.isEmpty():
+        left = value.filter(degenerate).select(KEY)
+        if left.isEmpty():
             return settled
-        open_scores = ordered.attach(
-            scores.withColumn(OS.BLOCK, OS.value_bucket(F.col("score"))), open_devices, KEYS, how="inner"
-        ).drop(OS.BLOCK)
-    stats = moments(open_scores).join(_order_statistics(ranked_scores(open_scores)), KEY)
+        known = known.only(left)
+    stats = known.stats.join(_order_statistics(known.ranks), KEY)
     simple = stats.select(KEY, F.least((F.col("p90") + F.col("std")) * SAFETY, F.col("p99")).alias("base"))
     return settled.unionByName(simple)
 
 
 def final_threshold(scores: DataFrame) -> DataFrame:
     """The gated threshold of every device."""
-    stats = cut_lineage(profile(scores).join(base_thresholds(scores), KEY))
-    return gate(stats, scores)
+    known = prepare(scores)
+    stats = cut_lineage(profile(known).join(base_thresholds(known), KEY))
+    return gate(stats, known)
 
 
-def gate(stats: DataFrame, scores: DataFrame) -> DataFrame:
+def gate(stats: DataFrame, scores: DataFrame | ScoreSet) -> DataFrame:
     """Correct base thresholds that are implausibly high or low.
 
     ``stats`` holds :func:`profile` and ``base``.

@@ -73,8 +73,8 @@ def needle_override(spark, sf):
 
 
 def slow_increment(spark, sf):
-    scores = _scores(spark, sf)
-    start = TH.ranked_scores(scores).groupBy("device_mac").agg(TH.OS.quantile("score", 0.9).alias("start"))
+    scores = TH.prepare(_scores(spark, sf))
+    start = scores.ranks.groupBy("device_mac").agg(TH.OS.quantile("score", 0.9).alias("start"))
     small = TH.slow_increment(scores, start, 1.1).select("device_mac", _r("raised", "raised_11"))
     large = TH.slow_increment(scores, start, 1.2).select("device_mac", _r("raised", "raised_12"))
     return small.join(large, "device_mac")
@@ -179,11 +179,11 @@ _T1 = _kde("k1", 0.9, 4096, False) + """,
  t1 as (select device_mac, coalesce(max(edge) filter (mass >= 0.05::double), arg_max(edge, mass)) / 4095::double as threshold from r1 group by 1)"""
 
 _T2 = _kde("k2", 1.0, 2048, True) + """,
- d2 as (select distinct device_mac, score from scores),
- f2 as (select d.device_mac, d.score, greatest(a.pdf + (b.pdf - a.pdf) * ((d.score - p.lo) / p.step - least(floor((d.score - p.lo) / p.step), 2046)), 1e-300::double) as f
-  from d2 d join k2_p p on d.device_mac = p.device_mac
-  join k2 a on a.device_mac = d.device_mac and a.pos = least(floor((d.score - p.lo) / p.step), 2046)::bigint
-  join k2 b on b.device_mac = d.device_mac and b.pos = least(floor((d.score - p.lo) / p.step), 2046)::bigint + 1),
+ d2 as materialized (select d.device_mac, d.score, (d.score - p.lo) / p.step as place, least(floor((d.score - p.lo) / p.step), 2046)::bigint as j
+  from (select distinct device_mac, score from scores) d join k2_p p on d.device_mac = p.device_mac),
+ p2 as materialized (select device_mac, pos, pdf as f0, lead(pdf) over (partition by device_mac order by pos) as f1 from k2),
+ f2 as (select d2.device_mac, d2.score, greatest(f0 + (f1 - f0) * (place - j), 1e-300::double) as f
+  from d2 join p2 on p2.device_mac = d2.device_mac and p2.pos = d2.j),
  n2 as (select *, lead(score) over w as nx, ln(f) - ln(lead(f) over w) as fall from f2 window w as (partition by device_mac order by score)),
  t2 as (select device_mac, least(greatest((score + nx) / 2, 0), 1) as threshold from
   (select *, row_number() over (partition by device_mac order by fall desc, score) as rn from n2 where nx is not null) where rn = 1)"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -35,10 +36,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write a small intermediate result to the shared folder and read it back,
-    so that it is computed once and survives the loss of an executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write an intermediate result to the shared folder and read it back.
+
+    It is computed once, survives the loss of an executor, and readers still
+    prune columns and know its size. The folder follows the clean-up rules of
+    the cluster's checkpoint folder.
+    """
+    path = f"{shared_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def plan_bytes(df: DataFrame) -> int:
