@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import scalars as S
+from ..session import lookup_join
 from . import ordered
 from .packets import PROTO_TCP, with_endpoints, with_flow, with_locality
 from .windows import (
@@ -185,7 +186,7 @@ def window_features(packets: DataFrame, bits: int = ordered.BLOCK_BITS, carry: D
     summary = with_carry(summary.join(distinct_counts(exploded).drop("packets"), WINDOW_KEYS))
     if carry is not None:
         old = carry.select("device_mac", *[F.col(f"carry_{c}").alias(f"_old_{c}") for c in ("ts_us", "flow_a", "flow_b")])
-        summary = summary.join(old, "device_mac", "left").withColumns(
+        summary = lookup_join(summary, old, ["device_mac"], "windowid").withColumns(
             {f"carry_{c}": F.coalesce(f"carry_{c}", f"_old_{c}") for c in ("ts_us", "flow_a", "flow_b")}
         )
     waited = F.greatest(F.coalesce(F.col("first_ts_us") - F.col("carry_ts_us"), F.lit(0)), F.lit(0))

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import alerts as A, features as FT, models as M, packets as P, report as R, scoring as SC, traffic as T
+from ..session import lookup_join
 from ..sources import captures as C
 
 
@@ -43,7 +44,7 @@ def score_features(features: DataFrame, models: DataFrame, thresholds: DataFrame
     vectors = FT.feature_vector(features).select("device_mac", F.col("windowid").alias("vec_seq"), "vector")
     # 2^36 microseconds (19 h) per part hold at most 3,436 windows of a device.
     scores = M.score_windows(vectors, models, bits=36).withColumnRenamed("vec_seq", "score_seq")
-    limited = scores.join(thresholds.select("device_mac", "threshold"), "device_mac", "left")
+    limited = lookup_join(scores, thresholds.select("device_mac", "threshold"), ["device_mac"], "score_seq")
     return SC.anomaly_flags(limited, bits=36)
 
 

@@ -110,7 +110,7 @@ def score_history(spark, sf):
 
 def rolling_score_stats(spark, sf):
     return SC.rolling_stats(_scores(spark, sf)).select(
-        "device_mac", "score_seq", _r("rolling_mean"), _r("rolling_std")
+        "device_mac", "score_seq", F.round("rolling_mean", 9).alias("rolling_mean"), F.round("rolling_std", 9).alias("rolling_std")
     )
 
 
@@ -275,7 +275,7 @@ from flags group by 1""",
     "score_tail": f"""with {_S} select device_mac, score_seq, round(score, 6) as score from
  (select *, row_number() over (partition by device_mac order by score_seq desc) as rn from scores) where rn <= 15""",
     "score_history": f"""with {_S} select device_mac, score_seq, round(score, 6) as score, (score_seq % 2)::bigint as is_new from scores""",
-    "rolling_score_stats": f"""with {_S} select device_mac, score_seq, round(avg(score) over f, 6) as rolling_mean,
- round(stddev_pop(score) over f, 6) as rolling_std from scores
+    "rolling_score_stats": f"""with {_S} select device_mac, score_seq, round(avg(score) over f, 9) as rolling_mean,
+ round(stddev_pop(score) over f, 9) as rolling_std from scores
  window f as (partition by device_mac order by score_seq rows between 14 preceding and current row)""",
 }

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..session import lookup_join
+
 FEATURE_BUCKETS = 256
 STATUS_SCHEMA = (
     "struct<current_size:bigint,distinct_hour_buckets:array<bigint>,distinct_day_buckets:array<bigint>,"
@@ -43,12 +45,16 @@ def load_features(spark: SparkSession, path: str, devices: DataFrame | None = No
     if devices is None:
         return rows.drop("device_bucket")
     wanted = devices.select(key).distinct().withColumn("device_bucket", device_bucket(key, buckets))
-    return rows.join(wanted, ["device_bucket", key], "left_semi").drop("device_bucket")
+    salt = next(c for c in rows.columns if c not in (key, "device_bucket"))
+    return lookup_join(rows, wanted, ["device_bucket", key], salt, how="inner").drop("device_bucket")
 
 
 def clear_features(spark: SparkSession, path: str, devices: DataFrame, target: str, key: str = "device_mac") -> None:
     """Rewrite the store without the given devices into ``target``."""
-    kept = spark.read.parquet(path).join(devices.select(key), key, "left_anti")
+    rows = spark.read.parquet(path)
+    salt = next(c for c in rows.columns if c not in (key, "device_bucket"))
+    gone = devices.select(key).distinct().withColumn("_gone", F.lit(True))
+    kept = lookup_join(rows, gone, [key], salt).filter("_gone is null").drop("_gone")
     kept.write.mode("errorifexists").partitionBy("device_bucket").parquet(target)
 
 
