@@ -1,6 +1,6 @@
 """Sliding 60 s windows every 20 s, anchored at a device's first packet.
 
-The reference order of the rows of a device is (window, packet): rows repeat
+The rows of a device are ordered by (window, packet): rows repeat
 in up to three overlapping windows, and "the previous row" of the first row of
 a window is the last row of the window before. None of this needs the repeated
 rows to be shuffled:
