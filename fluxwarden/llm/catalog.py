@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fluxwarden.llm import chat
+from fluxwarden.llm import chat, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op10_simhash": simhash.query,
     "op2_chat_format": chat.query,
 }
 
