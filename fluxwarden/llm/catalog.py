@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fluxwarden.llm import chat, packing, simhash
+from fluxwarden.llm import chat, cover_tree, packing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_cover_tree": cover_tree.query,
     "op1_packing": packing.query,
     "op10_simhash": simhash.query,
     "op2_chat_format": chat.query,
