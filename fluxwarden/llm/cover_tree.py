@@ -116,18 +116,30 @@ def forest(near: np.ndarray) -> list[tuple[int, int]]:
     return links
 
 
-def compare(ids, counts, x, side, cosine, same: bool):
+def compare(counts, x, side, cosine, same: bool):
     """Link counts of the rows of a block pair, and a spanning forest of its links. side: 0 or 1 by row."""
-    n = len(ids)
-    near = np.zeros((n, n), bool)
-    for at in range(0, n, 512):
-        near[at:at + 512] = x[at:at + 512] @ x.T >= cosine
-    near |= near.T
+    degree = np.zeros(len(x), np.int64)
+    one, two = (np.arange(len(x)),) * 2 if same else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+    found = []
+    for at in range(0, len(one), 512):
+        near = x[one[at:at + 512]] @ x[two].T >= cosine
+        if near.any():
+            i, j = np.nonzero(near)
+            found.append(np.stack([one[at + i], two[j]]))
+    if not found:
+        return degree, []
+    i, j = np.concatenate(found, axis=1)
     if same:
-        near[np.arange(n), np.arange(n)] = False
+        i, j = i[i != j], j[i != j]
     else:
-        near &= side[:, None] != side[None, :]
-    return (near * counts[None, :].astype(np.float64)).sum(axis=1).astype(np.int64), forest(near)
+        i, j = np.concatenate([i, j]), np.concatenate([j, i])
+    if not len(i):
+        return degree, []
+    np.add.at(degree, i, counts[j])
+    nodes, i = np.unique(i, return_inverse=True)
+    near = np.zeros((len(nodes), len(nodes)), bool)
+    near[i, np.searchsorted(nodes, j)] = True
+    return degree, [(int(nodes[a]), int(nodes[b])) for a, b in forest(near)]
 
 
 def near_vectors(
@@ -222,7 +234,7 @@ def _links(stages: Stages, reps: DataFrame, cosine: float, block_rows: int, samp
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(b: pa.RecordBatch) -> pa.RecordBatch:
             ids, counts, pair, side = (b.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3, 4))
-            degree, links = compare(ids, counts, unit(matrix(b.column(0))), side, cosine, int(pair[0]) >> 32 == int(pair[0]) & 0xFFFFFFFF)
+            degree, links = compare(counts, unit(matrix(b.column(0))), side, cosine, int(pair[0]) >> 32 == int(pair[0]) & 0xFFFFFFFF)
             has = np.flatnonzero(degree)
             links = np.array(links, np.int64).reshape(-1, 2)
             kind = b.schema.field("rep").type
