@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fluxwarden.llm import chat, chunks, cover_tree, packing, simhash, url_templates
+from fluxwarden.llm import chat, chunks, cover_tree, mixing, packing, simhash, toxicity, url_templates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op9_mixing": mixing.query,
+    "op8_toxicity": toxicity.query,
     "op6_chunk_fingerprints": chunks.query,
     "op4_url_templates": url_templates.query,
     "op7_cover_tree": cover_tree.query,
