@@ -22,6 +22,9 @@ from __future__ import annotations
 
 import bisect
 import re
+import sys
+import types
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -35,19 +38,33 @@ CAPACITY = 4096
 END_ID = 1
 CACHE_WORDS = 400_000
 BLOCK_BYTES = 1 << 22
+PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 SPACE = re.compile(rb"[\x20\x09-\x0d]")
 PIECES = "doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
 class WordEncoder:
     """Token ids of texts by words. The vocabulary drops white space and no token crosses it, so the ids of a text
-    are those of its words in order; ids of words seen before come from a table of bounded size."""
+    are those of its words in order. Nor does a token cross from a letter or digit to punctuation behind it, so a
+    word's ids are those of its stem and its tail. Ids seen before come from two tables of bounded size, by word as
+    written and by stem; stems of plain letters are lower-cased first, as the vocabulary does with every text."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.table: dict[bytes, bytes] = {}
+        ends = [t.endswith("</w>") for t, _ in sorted(self.tokenizer.get_vocab().items(), key=lambda x: x[1])]
+        self.ends_word = np.array(ends)
+        self.words: dict[bytes, bytes] = {}
+        self.stems: dict[bytes, bytes] = {}
+
+    @staticmethod
+    def of_process(path: str) -> WordEncoder:
+        """The encoder of this worker process, which serves one task after another."""
+        holder = sys.modules.setdefault("_word_encoders", types.ModuleType("_word_encoders"))
+        if path not in holder.__dict__:
+            holder.__dict__[path] = WordEncoder(path)
+        return holder.__dict__[path]
 
     def blocks(self, data: bytes) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of a text, in blocks that end at white space."""
@@ -57,16 +74,56 @@ class WordEncoder:
             stop = end.start() if end else len(data)
             words = data[at:stop].split()
             at = stop
-            table = self.table
-            new = [w for w in set(words) if w not in table]
+            table = self.words
+            new = {w for w in words if w not in table}
             if new:
                 if len(table) > CACHE_WORDS:
                     table.clear()
-                    new = list(set(words))
-                for w, e in zip(new, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)):
-                    table[w] = np.array(e.ids, "<u4").tobytes()
+                    new = set(words)
+                self._learn(new)
             yield b"".join(map(table.__getitem__, words))
 
+    def _learn(self, words: set[bytes]) -> None:
+        if len(self.stems) > CACHE_WORDS:
+            self.stems.clear()
+        stems, parts = self.stems, []
+        for w in words:
+            stem = w.rstrip(PUNCTUATION)
+            if b"<|" in w:
+                parts.append((w, w, b""))
+            elif stem.isascii():
+                parts.append((w, stem.lower(), w[len(stem):]))
+            else:
+                text = stem.decode("utf-8", "replace")
+                if unicodedata.category(text.lower()[-1])[0] not in "LN":
+                    parts.append((w, w, b""))  # what stands before the punctuation may belong to it
+                else:
+                    tail = w[len(stem):]
+                    if text.isalpha() and max(text) <= "\xff":  # letters with plain lower case
+                        stem = text.lower().encode()
+                    parts.append((w, stem, tail))
+        self._encode({x for _, *both in parts for x in both if x not in stems})
+        for w, stem, tail in parts:
+            self.words[w] = stems[stem] + stems[tail]
+
+    def _encode(self, new: set[bytes]) -> None:
+        letters, others = [], []
+        for x in new:
+            text = x.decode("utf-8", "replace")
+            (letters if text.isalpha() else others).append((x, text))
+        if letters:  # a word of letters is one word of the vocabulary's too, as a rule
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(t for _, t in letters)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == len(letters):
+                raw, at = ids.tobytes(), 0
+                for (x, _), end in zip(letters, (4 * ends).tolist()):
+                    self.stems[x] = raw[at:end]
+                    at = end
+            else:
+                others += letters
+        for (x, _), e in zip(others, self.tokenizer.encode_batch_fast([t for _, t in others], add_special_tokens=False)):
+            self.stems[x] = np.array(e.ids, "<u4").tobytes()
+
 
 def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): the pieces of every document, computed where the rows lie.
@@ -87,7 +144,7 @@ def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
         yield held + end
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(vocabulary)
+        encoder = WordEncoder.of_process(vocabulary)
         for b in batches:
             out: list[list] = [[], [], [], [], [], []]
             for id_, text in zip(b.column(0), b.column(1)):
