@@ -212,11 +212,11 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None =
 WEIGHTS = {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}
 
 
-def labelled_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def labelled_languages(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, domain): the language of the documents that the labels table covers."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("lang").alias("domain"))
-    return docs.join(spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id"), "doc_id", "left_semi")
+    return docs.select("doc_id", F.col("lang").alias("domain")).join(labels.select("doc_id"), "doc_id", "left_semi")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fit_rates(spark.read.parquet(f"{sf_dir}/documents.parquet"), labelled_languages(spark, sf_dir), WEIGHTS)
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    return fit_rates(docs, labelled_languages(docs, labels), WEIGHTS)

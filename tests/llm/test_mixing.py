@@ -50,7 +50,7 @@ def test_fit_is_least_squares(spark, floor):
 
 def test_mix_repeats_whole_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    labelled = mixing.labelled_languages(spark, SF)
+    labelled = mixing.labelled_languages(docs, spark.read.parquet(f"{SF}/labels.parquet"))
     got = mixing.mix(docs, labelled)
     assert got.columns == docs.columns
     counts = {r.doc_id: r["count"] for r in got.groupBy("doc_id").count().collect()}

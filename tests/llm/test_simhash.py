@@ -72,13 +72,13 @@ def test_all_links_of_planted_fingerprints(spark):
 
 
 def test_dense_bucket_and_long_text():
-    fps = np.array([sum(1 << b for b in c) for c in itertools.combinations(range(20), 2)], np.uint64)
+    fps = np.array([[sum(1 << b for b in c)] for c in itertools.combinations(range(20), 2)], np.uint64)
     assert len(simhash.spanning_links(fps, 3)) == len(fps) - 1
     words = " ".join(f"w{i % 977}" for i in range(300_000))
     whole = simhash.fingerprint(words.encode())
     block, simhash.BLOCK_BYTES = simhash.BLOCK_BYTES, 1000
     try:
-        assert simhash.fingerprint(words.encode()) == whole
+        assert (simhash.fingerprint(words.encode()) == whole).all()
     finally:
         simhash.BLOCK_BYTES = block
 
@@ -89,3 +89,24 @@ def test_edges(spark):
     got = sorted(((r.doc_id or 0), r.fp == 0, r.component_id) for r in done)
     assert got == [(0, False, 3), (1, True, 1), (2, True, 1), (3, False, 3), (3, False, 3), (4, False, 4)]
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_wide_fingerprints_find_copies(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghijkl", k=5))
+    rows, copies = [], 0
+    for k in range(0, 3000, 10):
+        words = [word() for _ in range(300)]
+        rows.append((k, " ".join(words)))
+        if k % 30 == 0:  # three words changed: similarity about 0.9
+            for at in (40, 150, 260):
+                words[at] = word()
+            rows.append((k + 1, " ".join(words)))
+            copies += 1
+    rows += [(0, rows[0][1]), (None, "x"), (None, "x"), (5000, None), (5001, "")]
+    kept = simhash.keep_one_of_each(spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id bigint, text string, fp int"))
+    assert kept.columns == ["doc_id", "text", "fp"]
+    ids = [r.doc_id for r in kept.collect()]
+    assert set(range(0, 3000, 10)) <= set(ids) and ids.count(0) == 1 and ids.count(None) == 2
+    assert sum(1 for i in ids if i is not None and i % 10 == 1 and i < 5000) < 0.1 * copies
+    assert 5000 in ids and 5001 not in ids
