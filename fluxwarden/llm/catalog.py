@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fluxwarden.llm import chat, chunks, cover_tree, mixing, packing, simhash, suffix_array, toxicity, url_templates
+from fluxwarden.llm import chat, chunks, cover_tree, kneser_ney, mixing, packing, simhash, suffix_array, toxicity, url_templates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_kneser_ney": kneser_ney.query,
     "op3_suffix_array": suffix_array.query,
     "op9_mixing": mixing.query,
     "op8_toxicity": toxicity.query,
