@@ -14,7 +14,8 @@ memory is one table and one text. So the text moves twice (to its label, to its
 document ever does.
 
 Verdict. The mean of -log p is drawn towards the language's mean by ``SHRINK`` characters, so that short texts do not
-fail by chance, and a document is kept up to the ``quantile`` of the trusted documents of its language.
+fail by chance, and a document is kept up to ``SLACK`` times the ``quantile`` of the trusted documents of its
+language; the slack is for texts that the model was not trained on.
 
 Defined results: a null or empty text has no perplexity and is not kept; a null language is a language of its own;
 a language without trusted documents keeps its documents; null ids and repeated rows are kept as rows (a null id is
@@ -36,8 +37,9 @@ from fluxwarden.llm.common import Stages, partitions
 ORDER = 4
 BLOCK_BYTES = 64 << 20
 GRAMS_AT_ONCE = 1 << 21
-SHRINK = 50
-QUANTILE = 0.98
+SHRINK = 100
+QUANTILE = 0.99
+SLACK = 1.03
 START = 2
 
 
@@ -199,7 +201,7 @@ def quality(
     smooth = scored.join(mean, "lang", "left").withColumn(
         "rate", F.when(F.col("n") > 0, (F.col("nll") + SHRINK * F.coalesce("mean", F.col("nll") / F.col("n"))) / (F.col("n") + SHRINK))
     )
-    limit = smooth.filter("trusted and n > 0").groupBy("lang").agg(F.percentile_approx("rate", quantile, 10000).alias("limit"))
+    limit = smooth.filter("trusted and n > 0").groupBy("lang").agg((SLACK * F.percentile_approx("rate", quantile, 10000)).alias("limit"))
     return smooth.join(limit, "lang", "left").select(
         "doc_id", "lang", F.exp(F.col("nll") / F.when(F.col("n") > 0, F.col("n"))).alias("perplexity"), F.exp("limit").alias("threshold"),
         ((F.col("n") > 0) & (F.col("limit").isNull() | (F.col("rate") <= F.col("limit")))).alias("kept"),
