@@ -9,12 +9,10 @@ is removed; strings are judged on the input. Texts are UTF-8 bytes and matches n
 2. Contexts. An anchor's context is the bytes that any string with this anchor can cover. Equal contexts are counted
    by hash (combined before the shuffle): where one occurs twice, all its strings repeat, which settles copies and
    the inside of shared passages. Only anchors with several different contexts go on, one context of each kind.
-3. Suffix sort. A task holds whole anchor groups. Suffixes that start at one offset from the anchor are ordered by a
-   mergesort whose comparisons find the common extension by binary search over prefix polynomial hashes; the
-   neighbours in this order give the longest extension that a suffix shares with any other. The same sort of
-   reversed prefixes gives extensions to the left. A window whose forward extension is at least ``length`` repeats,
-   and with it the run of windows up to the extension's end; otherwise the backward extension says how many windows
-   cannot repeat. So runs are found by their ends. Every match is verified byte by byte.
+3. Suffix sort. A task holds whole anchor groups. The suffixes at the anchors are ordered by a mergesort whose
+   comparisons find the common extension by binary search over prefix polynomial hashes, and so are the reversed
+   prefixes. Neighbours in these orders give what any two members share behind and before the anchor, and with it
+   the runs of windows that repeat. Every match is verified byte by byte.
 4. Anchors with more than ``hot`` different contexts (edges of a passage that a large share of all documents has)
    are not gathered: their windows are counted by 128-bit hash with Spark aggregations, which gives the same answer.
 
@@ -122,29 +120,17 @@ class Contexts:
             lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
         return lo
 
-    def longest(self, member: np.ndarray, offset: np.ndarray, forward: bool) -> tuple[np.ndarray, np.ndarray]:
-        """For each (member, offset from its anchor): the longest extension, to the right or left, that it shares
-        with another member of its group at the same offset, and that member."""
-        asked, task_of = np.unique(np.stack([self.group[member], offset]), axis=1, return_inverse=True)
-        task_of = task_of.ravel()
-        count = self.members[asked[0]]
-        task = np.repeat(np.arange(len(count)), count)
-        item = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + self.first[asked[0]][task]
-        at = asked[1][task]
-        room = self.right[item] - at if forward else self.left[item] + at
-        fits = (room >= 0) & ((at >= -self.left[item]) if forward else (at <= self.right[item]))
-        task, item, at, room = task[fits], item[fits], at[fits], room[fits]
-        place = self.anchor[item] + at
-        order = self._sorted(task, place, room, forward)
-        task, item, place, room = task[order], item[order], place[order], room[order]
-        shared = np.zeros(len(item) + 1, np.int64)  # with the one before
-        pair = np.flatnonzero(task[1:] == task[:-1])
-        shared[pair + 1] = self.common(place[pair], place[pair + 1], np.minimum(room[pair], room[pair + 1]), forward)
-        best = np.maximum(shared[:-1], shared[1:])
-        other = np.where(shared[:-1] >= shared[1:], np.arange(-1, len(item) - 1), np.minimum(np.arange(1, len(item) + 1), len(item) - 1))
-        found = np.argsort(task * (len(self.group) + 1) + item)
-        slot = found[np.searchsorted((task * (len(self.group) + 1) + item)[found], task_of * (len(self.group) + 1) + member)]
-        return best[slot], item[other[slot]]
+    def order(self, forward: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The members sorted by group and by what follows (or, reversed, precedes) their anchor, and how much of it
+        each shares with the member before it in this order (0 for the first of a group)."""
+        room = self.right if forward else self.left
+        order = self._sorted(self.group, self.anchor, room, forward)
+        shared = np.zeros(len(order), np.int64)
+        x, y = order[:-1], order[1:]
+        pair = np.flatnonzero(self.group[x] == self.group[y])
+        x, y = x[pair], y[pair]
+        shared[pair + 1] = self.common(self.anchor[x], self.anchor[y], np.minimum(room[x], room[y]), forward)
+        return order, shared
 
     def _less(self, p, room_p, q, room_q, forward: bool) -> np.ndarray:
         """Whether the suffix (or reversed prefix) at p comes before that at q."""
@@ -187,32 +173,82 @@ class Contexts:
 
     def repeats(self, settled: np.ndarray, gram: int) -> list[list[tuple[int, int]]]:
         """Runs (first, last) of starts, relative to the anchor, whose windows repeat in the group; only for members
-        that are not settled."""
+        that are not settled.
+
+        A member that shares ``left`` bytes before and ``right`` bytes behind the anchor makes the starts from -left
+        to right - length repeat. Others are met in falling order of ``left``, outward from the member in the order
+        of reversed prefixes; ``right`` is the least shared length between both in the order of suffixes. Only a
+        greater ``right`` than before adds starts, and the walk ends when no start is left that it could add."""
         runs: list[list[tuple[int, int]]] = [[] for _ in self.pieces]
-        at = -np.minimum(self.left, self.length - gram)
-        last = np.minimum(0, self.right - self.length)
-        active = np.flatnonzero(~settled & (at <= last) & (self.members[self.group] > 1))
-        while len(active):
-            ahead, other = self.longest(active, at[active], True)
-            hit = ahead >= self.length
-            for m, o, n in zip(active[hit].tolist(), other[hit].tolist(), ahead[hit].tolist()):
-                n = self._verified(m, o, int(at[m]), n)
-                if n >= self.length:
-                    runs[m].append((int(at[m]), int(at[m]) + n - self.length))
-                at[m] += max(n - self.length, 0) + 1
-            miss = active[~hit]
-            if len(miss):
-                behind, _ = self.longest(miss, at[miss] + self.length, False)
-                at[miss] += self.length - np.minimum(behind, self.length - 1)
-            active = active[at[active] <= last[active]]
+        n, length = len(self.pieces), self.length
+        first, last = -np.minimum(self.left, length - gram), np.minimum(0, self.right - length)
+        forward, shared = self.order(True)
+        least = RangeMinimum(shared)
+        backward, before = self.order(False)
+        rank, place = np.empty(n, np.int64), np.empty(n, np.int64)
+        rank[forward], place[backward] = np.arange(n), np.arange(n)
+        begin = self.first[self.group]
+        end = begin + self.members[self.group]  # a group has the same places in every order
+        before = np.append(before, 0)
+        member = np.flatnonzero(~settled & (first <= last) & (end - begin > 1))
+        down, up = place[member], place[member]  # the places met so far
+        left_down, left_up = (np.full(len(member), 1 << 30) for _ in range(2))
+        best = np.zeros(len(member), np.int64)
+        while len(member):
+            next_down = np.where(down > begin[member], np.minimum(left_down, before[down]), -1)
+            next_up = np.where(up + 1 < end[member], np.minimum(left_up, before[up + 1]), -1)
+            below = next_down >= next_up
+            left = np.maximum(next_down, next_up)
+            keep = left >= np.maximum(0, -last[member])
+            if not keep.all():
+                member, down, up, left_down, left_up, best, below, left = (x[keep] for x in (member, down, up, left_down, left_up, best, below, left))
+                if not len(member):
+                    break
+            down, up = np.where(below, down - 1, down), np.where(below, up, up + 1)
+            left_down, left_up = np.where(below, left, left_down), np.where(below, left_up, left)
+            other = backward[np.where(below, down, up)]
+            right = least.between(rank[member], rank[other])
+            better = np.flatnonzero(right > best)
+            for k in better[np.maximum(-left[better], first[member[better]]) <= np.minimum(right[better] - length, last[member[better]])].tolist():
+                m, o, x, y = int(member[k]), int(other[k]), int(left[k]), int(right[k])
+                x, y = self._verified(m, o, x, y)
+                lo, hi = max(-x, int(first[m])), min(y - length, int(last[m]))
+                if lo <= hi:
+                    runs[m].append((lo, hi))
+            best = np.maximum(best, right)
+            going = best < np.minimum(length, self.right[member])
+            if not going.all():
+                member, down, up, left_down, left_up, best = (x[going] for x in (member, down, up, left_down, left_up, best))
         return runs
 
-    def _verified(self, m: int, o: int, offset: int, n: int) -> int:
-        """The common extension by the bytes themselves."""
-        a, b = (self.pieces[x][int(self.left[x]) + offset:][:n] for x in (m, o))
-        if a == b:
-            return n
-        return int(np.flatnonzero(np.frombuffer(a, np.uint8) != np.frombuffer(b, np.uint8))[0])
+    def _verified(self, m: int, o: int, left: int, right: int) -> tuple[int, int]:
+        """What two members share on both sides of the anchor, by the bytes themselves."""
+        a, b = ((self.pieces[x][int(self.left[x]) - left:int(self.left[x])][::-1], self.pieces[x][int(self.left[x]):int(self.left[x]) + right]) for x in (m, o))
+        sizes = []
+        for x, y in zip(a, b):
+            same = np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8) if x != y else None
+            sizes.append(len(x) if same is None else int(same.argmin()))
+        return sizes[0], sizes[1]
+
+
+class RangeMinimum:
+    """Least value between two places of an array, from tables of the least of 2^k values."""
+
+    def __init__(self, values: np.ndarray):
+        self.tables = [values]
+        while 2 << (len(self.tables) - 1) <= len(values):
+            half, last = 1 << (len(self.tables) - 1), self.tables[-1]
+            self.tables.append(np.minimum(last[:-half], last[half:]))
+        size = max(len(t) for t in self.tables)
+        self.table = np.zeros((len(self.tables), size), values.dtype)
+        for k, t in enumerate(self.tables):
+            self.table[k, :len(t)] = t
+
+    def between(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Of the values behind the smaller place, up to the greater one; the places differ."""
+        lo, hi = np.minimum(a, b) + 1, np.maximum(a, b) + 1
+        k = np.frexp((hi - lo).astype(float))[1] - 1
+        return np.minimum(self.table[k, lo], self.table[k, hi - (1 << k)])
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

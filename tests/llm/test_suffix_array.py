@@ -65,18 +65,18 @@ def test_sort_and_extensions():
     left = np.array([rng.randint(0, len(p)) for p in pieces])
     c = suffix_array.Contexts(group, left, pieces, 5)
     for forward in (True, False):
-        best, other = c.longest(np.arange(len(pieces)), np.zeros(len(pieces), int), forward)
+        order, shared = c.order(forward)
         side = [p[x:] if forward else p[:x][::-1] for p, x in zip(pieces, left)]
-
-        def shared(a, b):
+        assert [(group[k], side[k]) for k in order] == sorted((group[k], side[k]) for k in range(len(pieces)))
+        for k in range(1, len(order)):
+            a, b = side[order[k - 1]], side[order[k]]
             n = 0
-            while n < min(len(a), len(b)) and a[n] == b[n]:
+            while group[order[k]] == group[order[k - 1]] and n < min(len(a), len(b)) and a[n] == b[n]:
                 n += 1
-            return n
-
-        for k, a in enumerate(side):
-            mates = [shared(a, b) for j, b in enumerate(side) if j != k and group[j] == group[k]]
-            assert best[k] == max(mates, default=0)
+            assert shared[k] == n
+        least = suffix_array.RangeMinimum(shared)
+        a, b = np.array([0, 3, 50, 219]), np.array([1, 90, 49, 0])
+        assert least.between(a, b).tolist() == [min(shared[min(x, y) + 1:max(x, y) + 1]) for x, y in zip(a, b)]
 
 
 def test_blocks_do_not_matter():
