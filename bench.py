@@ -13,7 +13,7 @@ HEADLINE = [
     "packets_from_captures", "capture_totals", "external_ip_traffic", "flow_ids", "sliding_windows", "window_native",
     "window_features", "score_windows", "anomaly_flags", "score_profile", "hdr_threshold", "gap_threshold",
     "final_threshold", "training_progress", "registry_audit", "rule_match", "alert_rollup", "device_report_join",
-    "error_streak", "train_models",
+    "error_streak",
 ]
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import lookup_join
 from . import ordered
 
 
@@ -23,7 +22,7 @@ def alert_device(alerts: DataFrame, registry: DataFrame) -> DataFrame:
         F.translate(F.lower("device_mac"), "-", ":").alias("_mac"), F.col("device_mac"), "position"
     )
     exploded = alerts.withColumn("_mac", F.explode_outer("macs"))
-    matched = lookup_join(exploded, entries, ["_mac"], "seq")
+    matched = exploded.join(entries, "_mac", "left")
     first = matched.groupBy("seq").agg(F.min_by("device_mac", "position").alias("device_mac"))
     return alerts.join(first, "seq")
 

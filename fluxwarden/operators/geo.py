@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..session import lookup_join
-
 BUCKET_SHIFT = 16  # ranges are cut at /16 borders: at most 65,536 pieces more than ranges
 UNKNOWN = "Unknown"
 
@@ -52,7 +50,7 @@ def with_country(rows: DataFrame, ranges: DataFrame, ip: str = "remote_ip") -> D
         .agg(F.collect_list(F.struct("ip_start", "ip_end", "country")).alias("_ranges"))
     )
     keyed = rows.withColumn("_bucket", F.shiftright(F.col(ip).cast("long"), BUCKET_SHIFT))
-    joined = lookup_join(keyed, pieces, ["_bucket"], ip)
+    joined = keyed.join(pieces, "_bucket", "left")
     hit = F.filter("_ranges", lambda r: F.col(ip).between(r["ip_start"], r["ip_end"]))
     return joined.withColumn(
         "country", F.coalesce(F.try_element_at(hit, F.lit(1))["country"], F.lit(UNKNOWN))

@@ -126,7 +126,9 @@ def _with_models(rows: DataFrame, models: DataFrame, partitions: int) -> DataFra
         "device_mac", "_part", "_epoch", "vec_seq", "vector",
         null_array.alias("params"), null_array.alias("moment1"), null_array.alias("moment2"), F.lit(0).cast("long").alias("steps"),
     )
-    heads = rows.select("device_mac", "_part").distinct().join(models, "device_mac").select(
+    # A damaged model has no parameters: its device is scored like one without a model.
+    usable = models.filter("params is not null")
+    heads = rows.select("device_mac", "_part").distinct().join(usable, "device_mac").select(
         "device_mac", "_part", F.lit(-1).alias("_epoch"), F.lit(None).cast("long").alias("vec_seq"),
         null_array.alias("vector"), "params", "moment1", "moment2", "steps",
     )

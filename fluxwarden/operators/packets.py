@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import scalars as S
-from ..session import lookup_join
 from . import ordered
 
 # Ethernet types and IP protocol numbers.
@@ -105,8 +104,8 @@ def registry_flags(frames: DataFrame, registry: DataFrame) -> DataFrame:
     known = registry.select("device_mac").distinct()
     src = known.select(F.col("device_mac").alias("src_mac"), F.lit(True).alias("src_known"))
     dst = known.select(F.col("device_mac").alias("dst_mac"), F.lit(True).alias("dst_known"))
-    df = lookup_join(frames, src, ["src_mac"], "seq")
-    df = lookup_join(df, dst, ["dst_mac"], "seq")
+    df = frames.join(src, "src_mac", "left")
+    df = df.join(dst, "dst_mac", "left")
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(False)) for c in ("src_known", "dst_known")})
 
 

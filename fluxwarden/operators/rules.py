@@ -5,22 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import scalars as S
-from ..session import lookup_join
 
 # Keyword patterns of the rule selection.
 EXCLUDED = (
     "et info|affected_product windows|alert pkthdr|alert icmp|confidence low|confidence medium"
     "|signature_severity informational"
 )
-ORIGINS = "kisshome|urlhaus|et malware"
+ORIGINS = "urlhaus|et malware"
 SEVERE = "confidence high|signature_severity major"
 ENABLED = r"^\s*alert"
 
 
-def select_rules(lines: DataFrame) -> DataFrame:
+def select_rules(lines: DataFrame, own_origin: str | None = None) -> DataFrame:
+    """Rules of the known origins, and of ``own_origin``, a keyword that marks the operator's own rules."""
     line = F.col("line")
+    origins = f"{own_origin}|{ORIGINS}" if own_origin else ORIGINS
     return lines.filter(
-        ~line.rlike(f"(?i){EXCLUDED}") & line.rlike(f"(?i){ORIGINS}") & line.rlike(f"(?i){SEVERE}")
+        ~line.rlike(f"(?i){EXCLUDED}") & line.rlike(f"(?i){origins}") & line.rlike(f"(?i){SEVERE}")
     )
 
 
@@ -172,7 +173,7 @@ def match_events(events: DataFrame, rules: DataFrame) -> DataFrame:
     sizes = [1, 2, 3, GRAM]
     grams = F.array_distinct(F.concat(*[_grams(text, n) for n in sizes]))
     keyed = events.withColumn("_anchor", F.explode(grams))
-    candidates = lookup_join(keyed, bodies, ["proto", "_anchor"], "event_id", how="inner")
+    candidates = keyed.join(bodies, ["proto", "_anchor"])
     whole = F.array_join(F.map_values("buffers"), "\n")
 
     def holds(c: Column) -> Column:

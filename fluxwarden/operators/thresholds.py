@@ -344,8 +344,8 @@ def gap_threshold(scores: DataFrame | ScoreSet) -> DataFrame:
     mad = OS.weighted_median_deviation(ordered.attach(left, middle, KEYS), KEYS, "score", "_median")
     leeway = F.least(F.lit(3.0) * (F.col("mad") + F.lit(1e-12)), base * 0.1)
     value = F.least(F.greatest(F.least(base + leeway, F.col("_cap")), F.lit(0.0)), F.lit(1.0))
-    # Fewer than 34 different ranks leave no admissible split.
-    result = F.when(F.col("_distinct") == 1, F.least("_max", "_cap")).when(F.col("_total") >= 34, value)
+    # Fewer than 34 ranks leave no gap with 3 % above it: the split is then behind the last rank.
+    result = F.when(F.col("_distinct") == 1, F.least("_max", "_cap")).otherwise(value)
     return split.join(mad, KEY).select(KEY, result.alias("threshold"))
 
 

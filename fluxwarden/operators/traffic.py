@@ -44,11 +44,12 @@ NO_VALID_PACKETS = "Pcap read in successfuly, but no valid packets found in pcap
 NO_PACKETS = "Pcap read in successfuly, but 0 packets found in pcap."
 
 
-def capture_totals(labelled: DataFrame, captures: DataFrame | None = None) -> DataFrame:
+def capture_totals(labelled: DataFrame, captures: DataFrame | None = None, failures: DataFrame | None = None) -> DataFrame:
     """Valid packets and bytes, faults and the resulting status per capture.
 
     ``captures`` lists the capture ids, so that one without any frame still
-    gets its row and its error.
+    gets its row and its error. ``failures`` (capture_id, read_error) has the
+    reader's errors, which stand before all others.
     """
     ok = F.col("disposition") == "accepted"
     totals = labelled.groupBy("capture_id").agg(
@@ -66,7 +67,10 @@ def capture_totals(labelled: DataFrame, captures: DataFrame | None = None) -> Da
         .otherwise(F.lit(NO_PACKETS))
     )
     ratio = F.coalesce(F.try_divide(F.col("faults"), F.col("frames")), F.lit(0.0))
-    return totals.withColumn("fault_ratio", ratio).withColumn("error", error)
+    totals = totals.withColumn("fault_ratio", ratio).withColumn("error", error)
+    if failures is None:
+        return totals
+    return totals.join(failures, "capture_id", "left").withColumn("error", F.coalesce("read_error", "error")).drop("read_error")
 
 
 def disposition_counts(labelled: DataFrame, pivot: bool = False) -> DataFrame:
@@ -83,12 +87,13 @@ def enough_packets(packets: DataFrame) -> DataFrame:
     return span.withColumn("enough", F.col("last_ts") - F.col("first_ts") > MIN_SPAN_US)
 
 
-def nested_traffic(traffic: DataFrame, bucket: int | None = None) -> DataFrame:
+def nested_traffic(traffic: DataFrame, bucket: int | None = None, registry: DataFrame | None = None) -> DataFrame:
     """External traffic of a device as a map address -> statistics.
 
     The report format asks for one map per device. Its size is the number of
     distinct remote addresses, after aggregation. A device that talks to very
-    many addresses can be split over ``bucket`` report rows.
+    many addresses can be split over ``bucket`` report rows. Devices of
+    ``registry`` without traffic get an empty map.
     """
     entry = F.struct(
         F.col("remote_ip").alias("ip"),
@@ -96,4 +101,9 @@ def nested_traffic(traffic: DataFrame, bucket: int | None = None) -> DataFrame:
     )
     keys = ["device_mac"] if bucket is None else ["device_mac", "part"]
     rows = traffic if bucket is None else traffic.withColumn("part", F.pmod(F.xxhash64("remote_ip"), F.lit(bucket)))
-    return rows.groupBy(*keys).agg(F.map_from_entries(F.collect_list(entry)).alias("external_ips"))
+    nested = rows.groupBy(*keys).agg(F.map_from_entries(F.collect_list(entry)).alias("external_ips"))
+    if registry is None:
+        return nested
+    silent = registry.select("device_mac").distinct().join(nested, "device_mac", "left_anti")
+    empty = F.create_map().cast(nested.schema["external_ips"].dataType)
+    return nested.unionByName(silent.withColumn("external_ips", empty), allowMissingColumns=True)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import lookup_join
 from .thresholds import DEFAULT_THRESHOLD, THRESHOLD_VERSION
 
 # Fixed values of the progress rule.
@@ -176,6 +175,6 @@ def refresh_thresholds(actions: DataFrame, training_scores: DataFrame) -> DataFr
     from .thresholds import final_threshold
 
     stale = actions.filter("threshold_action = 'recompute'").select("device_mac")
-    recomputed = final_threshold(lookup_join(training_scores, stale, ["device_mac"], "score", how="inner"))
+    recomputed = final_threshold(training_scores.join(stale, "device_mac"))
     bumped = actions.filter("threshold_action = 'bump'").select("device_mac", "threshold")
     return recomputed.unionByName(bumped).withColumn("version", F.lit(THRESHOLD_VERSION))

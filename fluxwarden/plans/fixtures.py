@@ -8,6 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Keyword that marks rules of the operator's own in the rule fixture.
+OWN_ORIGIN = "homeguard"
+
 BASE_US = 1704067200000000
 
 # TIMESTAMP_NTZ to microseconds without any influence of the session time zone.
@@ -76,7 +79,7 @@ select p_partkey as sid, concat(
  case when p_partkey % 11 = 0 then '# ' else '' end, 'alert ',
  case p_partkey % 4 when 0 then 'http' when 1 then 'dns' when 2 then 'tcp' else 'icmp' end,
  ' $HOME_NET any -> $EXTERNAL_NET any (msg:"',
- case p_partkey % 5 when 0 then 'KISSHOME' when 1 then 'URLhaus' when 2 then 'ET MALWARE' when 3 then 'ET INFO' else 'Local' end,
+ case p_partkey % 5 when 0 then 'HOMEGUARD' when 1 then 'URLhaus' when 2 then 'ET MALWARE' when 3 then 'ET INFO' else 'Local' end,
  ' sample ', cast(p_partkey as string), '"; content:"ther"; nocase; sid:', cast(p_partkey as string),
  '; rev:1; metadata:affected_product Linux, signature_severity ',
  case p_partkey % 3 when 0 then 'Major' when 1 then 'Informational' else 'Minor' end,

@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import alerts as A, features as FT, models as M, packets as P, report as R, scoring as SC, traffic as T
-from ..session import lookup_join
 from ..sources import captures as C
 
 
@@ -26,13 +25,19 @@ def read_packets(captures: DataFrame, registry: DataFrame) -> tuple[DataFrame, D
     return kept.withColumn("packet_length", F.col("frame_len").cast("long")).select(*P.PACKET_COLUMNS), labelled
 
 
+def read_failures(captures: DataFrame) -> DataFrame:
+    """The reader's error of every capture that could not be read to its end."""
+    failed = C.read_captures(captures).filter("read_error is not null")
+    return failed.groupBy("capture_id").agg(F.min("read_error").alias("read_error"))
+
+
 def analyse_captures(
     captures: DataFrame, registry: DataFrame, ranges: DataFrame, carry: DataFrame | None = None
 ) -> Analysis:
     packets, labelled = read_packets(captures, registry)
     return Analysis(
         packets=packets,
-        totals=T.capture_totals(labelled, captures),
+        totals=T.capture_totals(labelled, captures, read_failures(captures)),
         traffic=T.external_ip_traffic(packets, ranges, ["capture_id", "device_mac"]),
         features=FT.window_features(packets, carry=carry),
     )
@@ -44,19 +49,25 @@ def score_features(features: DataFrame, models: DataFrame, thresholds: DataFrame
     vectors = FT.feature_vector(features).select("device_mac", F.col("windowid").alias("vec_seq"), "vector")
     # 2^36 microseconds (19 h) per part hold at most 3,436 windows of a device.
     scores = M.score_windows(vectors, models, bits=36).withColumnRenamed("vec_seq", "score_seq")
-    limited = lookup_join(scores, thresholds.select("device_mac", "threshold"), ["device_mac"], "score_seq")
+    limited = scores.join(thresholds.select("device_mac", "threshold"), "device_mac", "left")
     return SC.anomaly_flags(limited, bits=36)
 
 
+NO_MODEL = "No usable model"
+
+
 def verdicts(flags: DataFrame, status: DataFrame, training_enabled: bool = True) -> DataFrame:
-    from ..operators.training import decide_action
-
-    counts = SC.anomaly_counts(flags)
-    state = status.join(counts, "device_mac", "left").select(
-        "device_mac",
-        decide_action(F.col("progress"), training_enabled).alias("action"),
-        F.coalesce("num_anomalies", F.lit(0)).alias("num_anomalies"),
-        F.lit(None).cast("string").alias("error"),
+    """A verdict for every device with at least one window. Devices without data have none, which the merged report
+    shows as "No data"; a device that should be judged but has windows without a score reports an error."""
+    from ..operators.training import INFER, decide_action
+
+    counts = SC.anomaly_counts(flags).join(
+        flags.groupBy("device_mac").agg(F.sum(F.col("score").isNull().cast("long")).alias("_unscored")), "device_mac"
+    )
+    action = decide_action(F.col("progress"), training_enabled)
+    state = status.join(counts, "device_mac").select(
+        "device_mac", action.alias("action"), "num_anomalies",
+        F.when((action == INFER) & (F.col("_unscored") > 0), F.lit(NO_MODEL)).alias("error"),
     )
     return R.verdict(state)
 

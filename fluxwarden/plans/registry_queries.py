@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import alerts as A, report as RP, rules as RU, scoring as SC, training as TR
 from ..sources import stores
-from .fixtures import duck, table, view
+from .fixtures import OWN_ORIGIN, duck, table, view
 
 
 def _status(spark, sf):
@@ -123,11 +123,11 @@ def rules_table(spark, sf):
 
 
 def rule_select(spark, sf):
-    return RU.select_rules(view(spark, sf, "rules_text")).select("sid", "line")
+    return RU.select_rules(view(spark, sf, "rules_text"), OWN_ORIGIN).select("sid", "line")
 
 
 def rule_count(spark, sf):
-    return RU.rule_count(RU.select_rules(view(spark, sf, "rules_text")))
+    return RU.rule_count(RU.select_rules(view(spark, sf, "rules_text"), OWN_ORIGIN))
 
 
 def rule_match(spark, sf):
@@ -253,9 +253,9 @@ _AUDIT = """audited as (select *, case when threshold is null then 'no threshold
  when progress = 0 and not model_equals_base then 'not started with changed model'
  when progress = 0 and threshold <> 0.0001::double then 'not started with own threshold' end as reason from registry_state)"""
 
-_SELECTED = """selected as (select * from rules_text
- where not regexp_matches(line, 'et info|affected_product windows|alert pkthdr|alert icmp|confidence low|confidence medium|signature_severity informational', 'i')
- and regexp_matches(line, 'kisshome|urlhaus|et malware', 'i') and regexp_matches(line, 'confidence high|signature_severity major', 'i'))"""
+_SELECTED = f"""selected as (select * from rules_text
+ where not regexp_matches(line, '{RU.EXCLUDED}', 'i')
+ and regexp_matches(line, '{OWN_ORIGIN}|{RU.ORIGINS}', 'i') and regexp_matches(line, '{RU.SEVERE}', 'i'))"""
 
 _ATTRIBUTED = """alerts as (select a.*, (select arg_min(r.device_mac, r.position) from device_registry r
   where replace(r.device_mac, '-', ':') in (a.src_mac, a.dest_mac)) as device_mac

@@ -42,7 +42,7 @@ def outlier_subset(spark, sf):
 
 
 def score_density(spark, sf):
-    return TH.kernel_density(_scores(spark, sf), TH.REGION_BANDWIDTH).filter("pdf > 1e-9").select(
+    return TH.kernel_density(_scores(spark, sf), TH.REGION_BANDWIDTH).select(
         "device_mac", F.col("pos").cast("long").alias("pos"), F.round("pdf", 4).alias("pdf")
     )
 
@@ -256,7 +256,7 @@ select device_mac, round(score, 6) as score, count(*) as n from clean group by 1
 select sc.device_mac, round(score, 6) as score, count(*) as n from scores sc join stats using (device_mac)
 where score > s_rank60 group by 1, 2""",
     "score_density": f"""with {_S}, {_kde('k1', 0.9, 4096, False)}
-select device_mac, pos::bigint as pos, round(pdf, 4) as pdf from k1 where pdf > 1e-9::double""",
+select device_mac, pos::bigint as pos, round(pdf, 4) as pdf from k1""",
     "hdr_threshold": _pick(_T1, "t1"),
     "valley_threshold": _pick(_T2, "t2"),
     "connected_threshold": _pick(_T3, "t3"),

@@ -115,7 +115,9 @@ def _vectors(spark, sf):
     return rows.select(
         F.concat(F.lit("aa-bb-cc-00-00-0"), (F.col("vec_id") % 8).cast("string")).alias("device_mac"),
         F.col("vec_id").alias("vec_seq"),
-        F.slice("embedding", 1, 45).cast("array<double>").alias("vector"),
+        F.transform(F.sequence(F.lit(0), F.lit(44)), lambda i: (
+            F.get("embedding", i).cast("double") + F.coalesce(F.get("embedding", i + 45).cast("double"), F.lit(0.0))
+        )).alias("vector"),  # all 64 values, folded to the 45 inputs of a model
     )
 
 
@@ -152,12 +154,6 @@ def score_windows_sql(spark, sf):
     return M.score_windows_sql(vectors, M.layer_table(vectors)).select("device_mac", "vec_seq", _r("score"))
 
 
-def train_models(spark, sf):
-    trained = M.train_models(_vectors(spark, sf), _models(spark, sf))
-    norm = F.sqrt(F.aggregate("params", F.lit(0.0), lambda a, x: a + x * x))
-    return trained.select("device_mac", "steps", F.round(norm, 6).alias("norm"))
-
-
 def report_sink(spark, sf):
     rows = view(spark, sf, "alert_events").filter("event_type = 'alert'")
     reports = rows.groupBy("src_mac").agg(F.count(F.lit(1)).alias("alerts"), F.max("ts_us").alias("newest"))
@@ -171,14 +167,14 @@ QUERIES = {
     for f in (
         capture_admission, read_captures, decode_frames, packets_from_captures, device_registry, read_alerts,
         telemetry_parse, log_tail, log_lines, artifact_digest, feature_store_append, model_store, score_windows,
-        score_windows_sql, train_models, report_sink,
+        score_windows_sql, report_sink,
     )
 }
 
 # --- DuckDB twins -----------------------------------------------------------
 
 _VECTORS = """vecs as (select concat('aa-bb-cc-00-00-0', vec_id % 8) as device_mac, vec_id as vec_seq,
- list_transform(embedding[1:45], lambda v: v::double) as x0 from embeddings)"""
+ list_transform(range(45), lambda i: embedding[i + 1]::double + coalesce(embedding[i + 46]::double, 0)) as x0 from embeddings)"""
 
 
 def _layer(l: int, out: int, inp: int, relu: bool) -> str:

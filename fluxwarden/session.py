@@ -1,11 +1,11 @@
-"""Session settings, lineage cutting and size checks shared by every operator."""
+"""Session settings and lineage cutting shared by every operator."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "fluxwarden", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -26,13 +26,15 @@ def build_session(app: str = "fluxwarden", cores: str = "*", shuffle_partitions:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: the session's checkpoint folder, or a
-    temporary one where none is configured (local tests)."""
+    """Folder every executor can reach: the session's checkpoint folder. Where none is set, a local session gets a
+    temporary folder, as in tests; a cluster must name one, as its machines do not share theirs."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="fluxwarden-"))
     return sc.getCheckpointDir()
 
@@ -47,27 +49,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate. It errs upwards, so it is safe as a bound."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-
-
-BROADCAST_LIMIT_BYTES = 32 << 20
-
-
-def lookup_join(
-    facts: DataFrame, dim: DataFrame, keys: list[str], salt_from: str, salts: int = 64, how: str = "left"
-) -> DataFrame:
-    """Join of a large table with a lookup table.
-
-    The dimension is broadcast only when its estimated size is below
-    ``BROADCAST_LIMIT_BYTES``. Beyond that both sides are salted, so that a key
-    holding a large share of the facts is spread over ``salts`` tasks.
-    """
-    if plan_bytes(dim) <= BROADCAST_LIMIT_BYTES:
-        return facts.join(F.broadcast(dim), keys, how)
-    salted_dim = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(salt_from), F.lit(salts)).cast("int"))
-    return salted.join(salted_dim, [*keys, "_salt"], how).drop("_salt")

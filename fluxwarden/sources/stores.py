@@ -8,8 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import lookup_join
-
 FEATURE_BUCKETS = 256
 STATUS_SCHEMA = (
     "struct<current_size:bigint,distinct_hour_buckets:array<bigint>,distinct_day_buckets:array<bigint>,"
@@ -40,21 +38,21 @@ def append_features(features: DataFrame, path: str, key: str = "device_mac", buc
 
 
 def load_features(spark: SparkSession, path: str, devices: DataFrame | None = None, key: str = "device_mac", buckets: int = FEATURE_BUCKETS) -> DataFrame:
-    """Stored features, optionally of some devices; partitions without them are skipped."""
+    """Stored features, optionally of some devices. Their buckets, at most ``buckets`` numbers, become a filter on
+    the partition column, so that the other folders are not read."""
     rows = spark.read.parquet(path)
     if devices is None:
         return rows.drop("device_bucket")
     wanted = devices.select(key).distinct().withColumn("device_bucket", device_bucket(key, buckets))
-    salt = next(c for c in rows.columns if c not in (key, "device_bucket"))
-    return lookup_join(rows, wanted, ["device_bucket", key], salt, how="inner").drop("device_bucket")
+    held = [r[0] for r in wanted.select("device_bucket").distinct().collect()]
+    return rows.filter(F.col("device_bucket").isin(held)).join(wanted, ["device_bucket", key]).drop("device_bucket")
 
 
 def clear_features(spark: SparkSession, path: str, devices: DataFrame, target: str, key: str = "device_mac") -> None:
     """Rewrite the store without the given devices into ``target``."""
     rows = spark.read.parquet(path)
-    salt = next(c for c in rows.columns if c not in (key, "device_bucket"))
     gone = devices.select(key).distinct().withColumn("_gone", F.lit(True))
-    kept = lookup_join(rows, gone, [key], salt).filter("_gone is null").drop("_gone")
+    kept = rows.join(gone, key, "left").filter("_gone is null").drop("_gone")
     kept.write.mode("errorifexists").partitionBy("device_bucket").parquet(target)
 
 

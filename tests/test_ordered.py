@@ -123,13 +123,3 @@ def test_error_streak_restarts_after_success(spark, bits):
         run = 0 if ok else run + 1
         expected.append((run, run > 0 and run % 3 == 0))
     assert got == expected
-
-
-def test_salted_lookup_equals_broadcast(spark, monkeypatch):
-    from fluxwarden import session
-
-    facts = spark.createDataFrame([("a", i) for i in range(100)] + [("b", 1), ("c", 2)], "k string, seq long")
-    dim = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v long")
-    small = sorted(map(tuple, session.lookup_join(facts, dim, ["k"], "seq").fillna(-1).collect()))
-    monkeypatch.setattr(session, "BROADCAST_LIMIT_BYTES", -1)
-    assert small == sorted(map(tuple, session.lookup_join(facts, dim, ["k"], "seq").fillna(-1).collect()))
