@@ -55,9 +55,13 @@ def parse_alerts(lines: DataFrame, column: str = "value") -> DataFrame:
 
 
 def read_alerts(spark: SparkSession, path: str) -> DataFrame:
-    """Alert file; the position in the file orders the events."""
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("seq"))
-    return parse_alerts(lines)
+    """Alert files; the events are ordered by the age of their file and the position in it, not by the order in which
+    Spark happens to read files and splits."""
+    seq = F.struct(
+        F.col("_metadata.file_modification_time").alias("arrived"), F.col("_metadata.file_name").alias("file"),
+        F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("id"),
+    )
+    return parse_alerts(spark.read.text(path).select("value", seq.alias("seq")))
 
 
 def read_rules(spark: SparkSession, path: str) -> DataFrame:

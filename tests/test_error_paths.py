@@ -45,3 +45,21 @@ def test_gap_threshold_of_few_scores(spark):
     scores = spark.createDataFrame([("a", k, 0.01 * k) for k in range(20)], "device_mac string, score_seq long, score double")
     value = TH.gap_threshold(scores).first().threshold
     assert value is not None and 0.1 < value <= 0.2
+
+
+def test_first_occurrence_follows_the_files(spark, tmp_path):
+    import json
+    import os
+
+    from fluxwarden.operators import alerts as A
+    from fluxwarden.sources import files
+
+    for k, rows in enumerate((3, 50, 4000)):  # Spark reads the largest, which is the newest, first
+        path = tmp_path / f"eve-{9 - k}.json"
+        event = {"event_type": "alert", "alert": {"signature": "s"}, "ether": {"src_mac": "AA:BB:CC:00:00:01"}}
+        path.write_text("".join(json.dumps(event | {"timestamp": f"2024-01-0{k + 1}T00:00:{j % 60:02d}+0000"}) + "\n" for j in range(rows)))
+        os.utime(path, (1_700_000_000 + k, 1_700_000_000 + k))
+    registry = spark.createDataFrame([("aa-bb-cc-00-00-01", 0)], "device_mac string, position int")
+    found = A.alert_rollup(A.alert_device(A.only_alerts(files.read_alerts(spark, str(tmp_path))), registry)).first()
+    assert found.number_occurrences == 4053
+    assert found.first_occurrence == 1_704_067_200_000_000
