@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -26,12 +27,24 @@ class Stages:
     def keep(self, df: DataFrame) -> DataFrame:
         return self.write(df)[0]
 
+    def drop_all_but(self, path: str) -> None:
+        """Drop the other tables of this run, which nothing reads any more."""
+        for k in range(1, self.count + 1):
+            if f"{self.root}/{k}" != path:
+                self.drop(f"{self.root}/{k}")
+
     def drop(self, path: str) -> None:
         jvm = self.spark._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished stages: it does so once nothing refers to them in either process."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -24,7 +24,6 @@ never trusted); an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
-import gc
 import itertools
 from collections.abc import Iterator
 
@@ -32,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from fluxwarden.llm.common import Stages, partitions
+from fluxwarden.llm.common import Stages, partitions, release
 
 ORDER = 4
 BLOCK_BYTES = 64 << 20
@@ -193,8 +192,7 @@ def quality(
     sizes = rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes")).collect()  # a row for each language
     blocks = {r["lang"]: -(-(r["bytes"] or 1) // block_bytes) for r in sizes} or {"": 1}
     del flagged
-    gc.collect()
-    spark._jvm.System.gc()  # lets Spark drop the shuffle files of the text as counted, before it moves again
+    release(spark)  # the text as counted, before it moves again
     scores = stages.keep(_scores(rows, table, blocks))
     scored = scores.join(known, "doc_id", "left")
     mean = scored.filter("trusted and n > 0").groupBy("lang").agg((F.sum("nll") / F.sum("n")).alias("mean"))

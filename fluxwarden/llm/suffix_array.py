@@ -13,7 +13,7 @@ is removed; strings are judged on the input. Texts are UTF-8 bytes and matches n
    comparisons find the common extension by binary search over prefix polynomial hashes, and so are the reversed
    prefixes. Neighbours in these orders give what any two members share behind and before the anchor, and with it
    the runs of windows that repeat. Every match is verified byte by byte.
-4. Anchors with more than ``hot`` different contexts (edges of a passage that a large share of all documents has)
+4. Anchors with more than ``hot`` different contexts (edges of a passage that very many documents have)
    are not gathered: their windows are counted by 128-bit hash with Spark aggregations, which gives the same answer.
 
 Defined results: a null text is the empty text; texts shorter than ``length`` lose nothing; of repeated rows and
@@ -30,11 +30,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fluxwarden.llm.common import Stages, partitions
+from fluxwarden.llm.common import Stages, partitions, release
 
 LENGTH = 400
 GRAM = 32
-HOT = 4000
+HOT = 40_000
 BLOCK_BYTES = 1 << 20
 GROUP_BYTES = 1 << 22
 BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2^64
@@ -51,16 +51,26 @@ def _powers(base: int, n: int, known: dict = {}) -> np.ndarray:  # noqa: B006
 
 
 class Hashes:
-    """Prefix polynomial hashes of a byte buffer, modulo 2^64."""
+    """Prefix polynomial hashes of a byte buffer, modulo 2^64. ``local``: the exponent of each byte, by default its
+    place; in a buffer of many pieces the place in its piece, which keeps the tables of powers short."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, local: np.ndarray | None = None):
         n = len(data)
         self.prefix = np.zeros(n + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(BASE, n), out=self.prefix[1:])
-        self.shift = _powers(INVERSE, n + 1)
+        self.local = local
+        if local is None:
+            np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(BASE, n), out=self.prefix[1:])
+            self.shift = _powers(INVERSE, n + 1)
+            return
+        top = int(local.max(initial=0)) + 1
+        power, self.shift = _powers(BASE, top), _powers(INVERSE, top)
+        for at in range(0, n, BLOCK_BYTES):
+            end = min(n, at + BLOCK_BYTES)
+            np.cumsum((data[at:end].astype(np.uint64) + np.uint64(1)) * power[local[at:end]], out=self.prefix[at + 1:end + 1])
+            self.prefix[at + 1:end + 1] += self.prefix[at]
 
     def of(self, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-        return (self.prefix[start + length] - self.prefix[start]) * self.shift[start]
+        return (self.prefix[start + length] - self.prefix[start]) * self.shift[start if self.local is None else self.local[start]]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -105,7 +115,13 @@ class Contexts:
         self.anchor = np.cumsum(size) - size + left  # place of the anchor in the buffer
         self.right = size - left
         self.data = np.frombuffer(b"".join(pieces), np.uint8)
-        self.hashes = Hashes(self.data)
+        begin = np.cumsum(size) - size
+        local = np.zeros(len(self.data) + 1, np.int16 if size.max(initial=0) < 1 << 15 else np.int64)
+        for at in range(0, len(size), 1 << 14):  # by some thousand pieces, so that no wide copy of the buffer is made
+            part = size[at:at + (1 << 14)]
+            lo = int(begin[at])
+            local[lo:lo + int(part.sum())] = np.arange(part.sum()) - np.repeat(np.cumsum(part) - part, part)
+        self.hashes = Hashes(self.data, local)
         self.first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
         self.members = np.diff(np.concatenate([self.first, [len(group)]]))
         self.group = np.repeat(np.arange(len(self.first)), self.members)
@@ -176,49 +192,44 @@ class Contexts:
         that are not settled.
 
         A member that shares ``left`` bytes before and ``right`` bytes behind the anchor makes the starts from -left
-        to right - length repeat. Others are met in falling order of ``left``, outward from the member in the order
-        of reversed prefixes; ``right`` is the least shared length between both in the order of suffixes. Only a
-        greater ``right`` than before adds starts, and the walk ends when no start is left that it could add."""
+        to right - length repeat. Each member is left by two walks: in the order of reversed prefixes, which meets the
+        others by falling ``left``, and in the order of suffixes, by falling ``right``; the other side's shared length
+        is a range minimum. What neither walk has met shares less on both sides than the walks do now, so a member is
+        done when all starts that this leaves are known to repeat, or none is left."""
         runs: list[list[tuple[int, int]]] = [[] for _ in self.pieces]
         n, length = len(self.pieces), self.length
         first, last = -np.minimum(self.left, length - gram), np.minimum(0, self.right - length)
-        forward, shared = self.order(True)
-        least = RangeMinimum(shared)
-        backward, before = self.order(False)
-        rank, place = np.empty(n, np.int64), np.empty(n, np.int64)
-        rank[forward], place[backward] = np.arange(n), np.arange(n)
         begin = self.first[self.group]
         end = begin + self.members[self.group]  # a group has the same places in every order
-        before = np.append(before, 0)
+        walks = [Walk(*self.order(False), begin, end), Walk(*self.order(True), begin, end)]
         member = np.flatnonzero(~settled & (first <= last) & (end - begin > 1))
-        down, up = place[member], place[member]  # the places met so far
-        left_down, left_up = (np.full(len(member), 1 << 30) for _ in range(2))
-        best = np.zeros(len(member), np.int64)
+        for walk in walks:
+            walk.start(member)
+        cover_lo, cover_hi = np.ones(len(member), np.int64), np.zeros(len(member), np.int64)  # a run known to repeat
         while len(member):
-            next_down = np.where(down > begin[member], np.minimum(left_down, before[down]), -1)
-            next_up = np.where(up + 1 < end[member], np.minimum(left_up, before[up + 1]), -1)
-            below = next_down >= next_up
-            left = np.maximum(next_down, next_up)
-            keep = left >= np.maximum(0, -last[member])
-            if not keep.all():
-                member, down, up, left_down, left_up, best, below, left = (x[keep] for x in (member, down, up, left_down, left_up, best, below, left))
-                if not len(member):
-                    break
-            down, up = np.where(below, down - 1, down), np.where(below, up, up + 1)
-            left_down, left_up = np.where(below, left, left_down), np.where(below, left_up, left)
-            other = backward[np.where(below, down, up)]
-            right = least.between(rank[member], rank[other])
-            better = np.flatnonzero(right > best)
-            for k in better[np.maximum(-left[better], first[member[better]]) <= np.minimum(right[better] - length, last[member[better]])].tolist():
-                m, o, x, y = int(member[k]), int(other[k]), int(left[k]), int(right[k])
-                x, y = self._verified(m, o, x, y)
-                lo, hi = max(-x, int(first[m])), min(y - length, int(last[m]))
-                if lo <= hi:
-                    runs[m].append((lo, hi))
-            best = np.maximum(best, right)
-            going = best < np.minimum(length, self.right[member])
+            bounds = []
+            for mine, theirs in (walks, walks[::-1]):
+                other, shared = mine.step(member)
+                bounds.append(np.maximum(shared, 0))
+                across = np.where(shared >= 0, theirs.shared_by(member, other), 0)
+                left, right = (shared, across) if mine is walks[0] else (across, shared)
+                lo, hi = np.maximum(-left, first[member]), np.minimum(right - length, last[member])
+                for k in np.flatnonzero((shared >= 0) & (lo <= hi) & ((lo < cover_lo) | (hi > cover_hi))).tolist():
+                    m = int(member[k])
+                    x, y = self._verified(m, int(other[k]), int(left[k]), int(right[k]))
+                    x, y = max(-x, int(first[m])), min(y - length, int(last[m]))
+                    if x > y:
+                        continue
+                    runs[m].append((x, y))
+                    if cover_lo[k] > cover_hi[k] or x <= cover_hi[k] + 1 and y >= cover_lo[k] - 1:
+                        known = cover_lo[k] <= cover_hi[k]
+                        cover_lo[k], cover_hi[k] = (min(x, cover_lo[k]), max(y, cover_hi[k])) if known else (x, y)
+            lo, hi = np.maximum(-bounds[0], first[member]), np.minimum(bounds[1] - length, last[member])
+            going = (lo <= hi) & ((lo < cover_lo) | (hi > cover_hi)) & walks[0].unmet() & walks[1].unmet()
             if not going.all():
-                member, down, up, left_down, left_up, best = (x[going] for x in (member, down, up, left_down, left_up, best))
+                member, cover_lo, cover_hi = member[going], cover_lo[going], cover_hi[going]
+                for walk in walks:
+                    walk.keep(going)
         return runs
 
     def _verified(self, m: int, o: int, left: int, right: int) -> tuple[int, int]:
@@ -231,6 +242,45 @@ class Contexts:
         return sizes[0], sizes[1]
 
 
+class Walk:
+    """Members met outward from each of some members in a sorted order, by falling shared length."""
+
+    def __init__(self, order: np.ndarray, shared: np.ndarray, begin: np.ndarray, end: np.ndarray):
+        self.order, self.begin, self.end = order, begin, end
+        self.before, self.least = np.append(shared, 0), RangeMinimum(shared)
+        self.place = np.empty(len(order), np.int64)
+        self.place[order] = np.arange(len(order))
+
+    def start(self, member: np.ndarray) -> None:
+        self.down, self.up = self.place[member], self.place[member]  # the places met so far
+        self.first, self.last = self.begin[member], self.end[member] - 1
+        self.least_down, self.least_up = (np.full(len(member), 1 << 30) for _ in range(2))
+
+    def step(self, member: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next member met by each, and the length that both share; -1 where all are met."""
+        down = np.where(self.down > self.first, np.minimum(self.least_down, self.before[self.down]), -1)
+        up = np.where(self.up < self.last, np.minimum(self.least_up, self.before[self.up + 1]), -1)
+        below, shared = down >= up, np.maximum(down, up)
+        moves = shared >= 0
+        self.down = self.down - (moves & below)
+        self.up = self.up + (moves & ~below)
+        self.least_down = np.where(moves & below, shared, self.least_down)
+        self.least_up = np.where(moves & ~below, shared, self.least_up)
+        return self.order[np.where(below, self.down, self.up)], shared
+
+    def unmet(self) -> np.ndarray:
+        return (self.down > self.first) | (self.up < self.last)
+
+    def shared_by(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The length that members a and b share in this order; a and b differ, or the value has no use."""
+        x, y = self.place[a], self.place[b]
+        return self.least.between(x, np.where(x == y, np.where(x > 0, x - 1, x + 1), y))
+
+    def keep(self, going: np.ndarray) -> None:
+        for name in ("down", "up", "first", "last", "least_down", "least_up"):
+            setattr(self, name, getattr(self, name)[going])
+
+
 class RangeMinimum:
     """Least value between two places of an array, from tables of the least of 2^k values."""
 
@@ -286,19 +336,19 @@ def _anchor_rows(texts: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def _context_rows(texts: DataFrame) -> DataFrame:
-    """(anchor, ctx, left, multi, hot, bytes) from (text, wanted: structs of anchor, ctx, pos, left, right, multi, hot)."""
+    """(anchor, ctx, left, multi, bytes) from (text, wanted: structs of anchor, ctx, pos, left, right, multi)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for text, wanted in zip(b.column(0), b.column(1)):
                 data = text.as_py()
-                rows += [(w["anchor"], w["ctx"], w["left"], w["multi"], w["hot"], data[w["pos"] - w["left"]:w["pos"] + w["right"]]) for w in wanted.as_py()]
-            columns = list(zip(*rows)) if rows else [[]] * 6
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["anchor", "ctx", "left", "multi", "hot", "bytes"])
+                rows += [(w["anchor"], w["ctx"], w["left"], w["multi"], data[w["pos"] - w["left"]:w["pos"] + w["right"]]) for w in wanted.as_py()]
+            columns = list(zip(*rows)) if rows else [[]] * 5
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["anchor", "ctx", "left", "multi", "bytes"])
 
-    return texts.select("text", "wanted").mapInArrow(run, "anchor bigint, ctx bigint, `left` int, multi boolean, hot boolean, bytes binary")
+    return texts.select("text", "wanted").mapInArrow(run, "anchor bigint, ctx bigint, `left` int, multi boolean, bytes binary")
 
 
 def _sorted_groups(contexts: DataFrame, length: int, gram: int) -> DataFrame:
@@ -351,9 +401,11 @@ def _counted_windows(stages: Stages, contexts: DataFrame, length: int, gram: int
     # at one offset from one anchor, so that a window met through two of its document's anchors is not its own copy
     place = ["anchor", "start", "window"]
     twice = windows.groupBy(place).agg(F.min("ctx").alias("a"), F.max("ctx").alias("b")).filter("a != b").select(place)
-    return windows.join(twice, place).groupBy("anchor", "ctx").agg(
-        F.collect_set(F.struct(F.col("start").alias("lo"), F.col("start").alias("hi"))).alias("spans")
-    )
+    found = windows.join(twice, place).groupBy("anchor", "ctx").agg(F.array_sort(F.collect_set("start")).alias("starts"))
+    far = lambda a, b: a.isNull() | b.isNull() | (a - b > 1)
+    first = F.filter("starts", lambda x, i: far(x, F.get("starts", i - 1)))
+    last = F.filter("starts", lambda x, i: far(F.get("starts", i + 1), x))
+    return found.select("anchor", "ctx", F.zip_with(first, last, lambda a, b: F.struct(a.alias("lo"), b.alias("hi"))).alias("spans"))
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, hot: int = HOT) -> DataFrame:
@@ -380,18 +432,29 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     )
     copies = stages.keep(texts.select("doc_id", "digest", F.octet_length("text").alias("n_bytes")).groupBy("doc_id", "digest", "n_bytes").agg(F.count("*").alias("rows")))
     by_text = copies.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.sum("rows").alias("rows"))
-    wanted = kinds.filter("open").groupBy("place.digest").agg(
-        F.collect_list(F.struct("anchor", "ctx", F.col("place.pos").alias("pos"), "left", "right", "multi", "hot")).alias("wanted")
-    ).join(by_text.select("digest", "rep"), "digest").select(F.col("digest").alias("d"), "rep", "wanted")
-    contexts = stages.keep(_context_rows(texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["rep"]) & (texts["digest"] == wanted["d"]))))
-    spans = settled.union(_sorted_groups(contexts.filter("not hot"), length, gram)).union(_counted_windows(stages, contexts.filter("hot"), length, gram))
+
+    def contexts(which: DataFrame) -> DataFrame:
+        wanted = which.groupBy("place.digest").agg(
+            F.collect_list(F.struct("anchor", "ctx", F.col("place.pos").alias("pos"), "left", "right", "multi")).alias("wanted")
+        ).join(by_text.select("digest", "rep"), "digest").select(F.col("digest").alias("d"), "rep", "wanted")
+        return _context_rows(texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["rep"]) & (texts["digest"] == wanted["d"])))
+
+    spans = settled.union(_sorted_groups(contexts(kinds.filter("open and not hot")), length, gram))
+    many = kinds.filter("open and hot")
+    if not many.isEmpty():
+        spans = spans.union(_counted_windows(stages, contexts(many), length, gram))
+    spans = stages.keep(spans)
+    release(docs.sparkSession)
     starts = found.join(spans, ["anchor", "ctx"]).select("digest", F.explode(F.transform("spans", lambda s: F.struct(
         (F.col("pos") + s["lo"]).alias("lo"), (F.col("pos") + s["hi"]).alias("hi")
     ))).alias("span")).groupBy("digest").agg(F.collect_set("span").alias("spans"))
     every = by_text.filter("rows > 1").select("digest", F.lit(True).alias("twice"))
-    return copies.join(every, "digest", "left").join(starts, "digest", "left").select(
+    decided, path = stages.write(copies.join(every, "digest", "left").join(starts, "digest", "left").select(
         "doc_id", "digest", (F.coalesce("twice", F.lit(False)) & (F.col("n_bytes") >= length)).alias("whole"), "spans"
-    ).filter("whole or spans is not null").withColumn("spans", F.when(~F.col("whole"), F.col("spans")))
+    ).filter("whole or spans is not null").withColumn("spans", F.when(~F.col("whole"), F.col("spans"))))
+    stages.drop_all_but(path)
+    release(docs.sparkSession)
+    return decided
 
 
 def _kept(data: bytes, whole: bool | None, spans, length: int) -> tuple[bytes, list[tuple[int, int]]]:
