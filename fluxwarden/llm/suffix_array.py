@@ -10,7 +10,8 @@ is removed; strings are judged on the input. Texts are UTF-8 bytes and matches n
    by hash (combined before the shuffle): where one occurs twice, all its strings repeat, which settles copies and
    the inside of shared passages. Only anchors with several different contexts go on, one context of each kind.
 3. Suffix sort. A task holds whole anchor groups. The suffixes at the anchors are ordered by a mergesort whose
-   comparisons find the common extension by binary search over prefix polynomial hashes, and so are the reversed
+   comparisons find the common extension by binary search over prefix polynomial hashes (of words of eight bytes,
+   then the byte in the word), and so are the reversed
    prefixes. Neighbours in these orders give what any two members share behind and before the anchor, and with it
    the runs of windows that repeat. Every match is verified byte by byte.
 4. Anchors with more than ``hot`` different contexts (edges of a passage that very many documents have)
@@ -51,26 +52,13 @@ def _powers(base: int, n: int, known: dict = {}) -> np.ndarray:  # noqa: B006
 
 
 class Hashes:
-    """Prefix polynomial hashes of a byte buffer, modulo 2^64. ``local``: the exponent of each byte, by default its
-    place; in a buffer of many pieces the place in its piece, which keeps the tables of powers short."""
+    """Prefix polynomial hashes of a byte buffer, modulo 2^64."""
 
-    def __init__(self, data: np.ndarray, local: np.ndarray | None = None):
+    def __init__(self, data: np.ndarray):
         n = len(data)
         self.prefix = np.zeros(n + 1, np.uint64)
-        self.local = local
-        if local is None:
-            np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(BASE, n), out=self.prefix[1:])
-            self.shift = _powers(INVERSE, n + 1)
-            return
-        top = int(local.max(initial=0)) + 1
-        power, self.shift = _powers(BASE, top), _powers(INVERSE, top)
-        for at in range(0, n, BLOCK_BYTES):
-            end = min(n, at + BLOCK_BYTES)
-            np.cumsum((data[at:end].astype(np.uint64) + np.uint64(1)) * power[local[at:end]], out=self.prefix[at + 1:end + 1])
-            self.prefix[at + 1:end + 1] += self.prefix[at]
-
-    def of(self, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-        return (self.prefix[start + length] - self.prefix[start]) * self.shift[start if self.local is None else self.local[start]]
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(BASE, n), out=self.prefix[1:])
+        self.shift = _powers(INVERSE, n + 1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -106,60 +94,44 @@ def anchors(data: bytes, length: int, gram: int) -> tuple[np.ndarray, np.ndarray
     return place, value[first]
 
 
-class Contexts:
-    """Contexts of anchor groups in one buffer, sorted by group."""
+class Side:
+    """What follows the anchor of each member (or, reversed, precedes it): eight bytes to a word, and the polynomial
+    hash of every prefix of words. All texts begin at the anchor, so equal prefixes have equal hashes."""
 
-    def __init__(self, group: np.ndarray, left: np.ndarray, pieces: list[bytes], length: int):
-        self.length, self.pieces, self.left = length, pieces, left
-        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        self.anchor = np.cumsum(size) - size + left  # place of the anchor in the buffer
-        self.right = size - left
-        self.data = np.frombuffer(b"".join(pieces), np.uint8)
-        begin = np.cumsum(size) - size
-        local = np.zeros(len(self.data) + 1, np.int16 if size.max(initial=0) < 1 << 15 else np.int64)
-        for at in range(0, len(size), 1 << 14):  # by some thousand pieces, so that no wide copy of the buffer is made
-            part = size[at:at + (1 << 14)]
-            lo = int(begin[at])
-            local[lo:lo + int(part.sum())] = np.arange(part.sum()) - np.repeat(np.cumsum(part) - part, part)
-        self.hashes = Hashes(self.data, local)
-        self.first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-        self.members = np.diff(np.concatenate([self.first, [len(group)]]))
-        self.group = np.repeat(np.arange(len(self.first)), self.members)
+    def __init__(self, texts: list[bytes]):
+        self.room = np.fromiter(map(len, texts), np.int64, len(texts))
+        width = int(-(-self.room.max(initial=1) // 8))
+        self.words = np.frombuffer(b"".join(t.ljust(8 * width, b"\0") for t in texts), ">u8").astype(np.uint64).reshape(-1, width)
+        self.prefix = np.zeros((len(texts), width + 1), np.uint64)
+        power = _powers(BASE, width)
+        for k in range(width):
+            self.prefix[:, k + 1] = self.prefix[:, k] + _mix(self.words[:, k] + np.uint64(1)) * power[k]
 
-    def common(self, p, q, most, forward: bool) -> np.ndarray:
-        """Length of the common extension of places p and q, at most ``most``: binary search over hashes."""
-        lo, hi = np.zeros(len(p), np.int64), most.copy()
+    def common(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes that members a and b share, and the first word in which they differ: binary search over hashes."""
+        width = self.words.shape[1]
+        lo, hi = np.zeros(len(a), np.int64), np.full(len(a), width)
         while (lo < hi).any():
             mid = (lo + hi + 1) >> 1
-            back = 0 if forward else mid
-            same = self.hashes.of(p - back, mid) == self.hashes.of(q - back, mid)
+            same = self.prefix[a, mid] == self.prefix[b, mid]
             lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
-        return lo
-
-    def order(self, forward: bool) -> tuple[np.ndarray, np.ndarray]:
-        """The members sorted by group and by what follows (or, reversed, precedes) their anchor, and how much of it
-        each shares with the member before it in this order (0 for the first of a group)."""
-        room = self.right if forward else self.left
-        order = self._sorted(self.group, self.anchor, room, forward)
-        shared = np.zeros(len(order), np.int64)
-        x, y = order[:-1], order[1:]
-        pair = np.flatnonzero(self.group[x] == self.group[y])
-        x, y = x[pair], y[pair]
-        shared[pair + 1] = self.common(self.anchor[x], self.anchor[y], np.minimum(room[x], room[y]), forward)
-        return order, shared
-
-    def _less(self, p, room_p, q, room_q, forward: bool) -> np.ndarray:
-        """Whether the suffix (or reversed prefix) at p comes before that at q."""
-        most = np.minimum(room_p, room_q)
-        n = self.common(p, q, most, forward)
-        step = n if forward else -n - 1
-        x, y = (self.data[np.clip(place + step, 0, len(self.data) - 1)] for place in (p, q))
-        return np.where(n == most, room_p < room_q, x < y)
-
-    def _sorted(self, task, place, room, forward: bool) -> np.ndarray:
-        """Mergesort of the suffixes of every task at once; a row finds its rank in the sibling run by bisection."""
-        n = len(task)
-        start = np.flatnonzero(np.concatenate([[True], task[1:] != task[:-1]])) if n else np.empty(0, np.int64)
+        word = np.minimum(lo, width - 1)
+        x = self.words[a, word] ^ self.words[b, word]
+        for shift in (1, 2, 4, 8, 16, 32):  # all bits behind the first
+            x = x | x >> np.uint64(shift)
+        shared = 8 * word + (64 - np.bitwise_count(x).astype(np.int64)) // 8
+        return np.minimum(shared, np.minimum(self.room[a], self.room[b])), word
+
+    def less(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether a comes before b; the shorter one does where it is a prefix."""
+        shared, word = self.common(a, b)
+        ended = shared == np.minimum(self.room[a], self.room[b])
+        return np.where(ended, self.room[a] < self.room[b], self.words[a, word] < self.words[b, word])
+
+    def sorted(self, group: np.ndarray) -> np.ndarray:
+        """Mergesort of the members of every group at once; a row finds its rank in the sibling run by bisection."""
+        n = len(group)
+        start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if n else np.empty(0, np.int64)
         size = np.diff(np.concatenate([start, [n]]))
         begin, total = np.repeat(start, size), np.repeat(size, size)
         local, order, width = np.arange(n) - begin, np.arange(n), 1
@@ -168,25 +140,43 @@ class Contexts:
             right = run % 2 == 1
             lo = begin + np.minimum((run + np.where(right, -1, 1)) * width, total)
             hi = np.minimum(lo + width, begin + total)
-            sibling, p, r = lo.copy(), place[order], room[order]
-            while True:
-                active = np.flatnonzero(lo < hi)
-                if not len(active):
-                    break
+            sibling = lo.copy()
+            active = np.flatnonzero(lo < hi)
+            while len(active):
                 mid = (lo[active] + hi[active]) >> 1
-                mp, mr, ep, er = p[mid], r[mid], p[active], r[active]
-                goes = right[active]
-                x, xr, y, yr = (np.where(goes, a, b) for a, b in ((ep, mp), (er, mr), (mp, ep), (mr, er)))
-                less = self._less(x, xr, y, yr, forward)
-                up = np.where(goes, ~less, less)  # a right row goes behind equal left rows
+                other, own, goes = order[mid], order[active], right[active]
+                less = self.less(np.where(goes, own, other), np.where(goes, other, own))
+                up = less != goes  # a right row goes behind equal left rows
                 lo[active] = np.where(up, mid + 1, lo[active])
                 hi[active] = np.where(up, hi[active], mid)
-            slot = begin + (run - right) * width + local - run * width + lo - sibling
+                active = active[lo[active] < hi[active]]
             after = np.empty(n, np.int64)
-            after[slot] = order
+            after[begin + (run - right) * width + local - run * width + lo - sibling] = order
             order, width = after, width * 2
         return order
 
+
+class Contexts:
+    """Contexts of anchor groups, sorted by group."""
+
+    def __init__(self, group: np.ndarray, left: np.ndarray, pieces: list[bytes], length: int):
+        self.length, self.pieces, self.left = length, pieces, left
+        self.right = np.fromiter(map(len, pieces), np.int64, len(pieces)) - left
+        self.first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        self.members = np.diff(np.concatenate([self.first, [len(group)]]))
+        self.group = np.repeat(np.arange(len(self.first)), self.members)
+
+    def order(self, forward: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The members sorted by group and by what follows (or, reversed, precedes) their anchor, and how much of it
+        each shares with the member before it in this order (0 for the first of a group)."""
+        side = Side([p[x:] if forward else p[:x][::-1] for p, x in zip(self.pieces, self.left.tolist())])
+        order = side.sorted(self.group)
+        shared = np.zeros(len(order), np.int64)
+        x, y = order[:-1], order[1:]
+        pair = np.flatnonzero(self.group[x] == self.group[y])
+        shared[pair + 1] = side.common(x[pair], y[pair])[0]
+        return order, shared
+
     def repeats(self, settled: np.ndarray, gram: int) -> list[list[tuple[int, int]]]:
         """Runs (first, last) of starts, relative to the anchor, whose windows repeat in the group; only for members
         that are not settled.
@@ -338,15 +328,24 @@ def _anchor_rows(texts: DataFrame, length: int, gram: int) -> DataFrame:
 def _context_rows(texts: DataFrame) -> DataFrame:
     """(anchor, ctx, left, multi, bytes) from (text, wanted: structs of anchor, ctx, pos, left, right, multi)."""
 
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows)) if rows else [[]] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["anchor", "ctx", "left", "multi", "bytes"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
+            rows, size = [], 0
             for text, wanted in zip(b.column(0), b.column(1)):
                 data = text.as_py()
-                rows += [(w["anchor"], w["ctx"], w["left"], w["multi"], data[w["pos"] - w["left"]:w["pos"] + w["right"]]) for w in wanted.as_py()]
-            columns = list(zip(*rows)) if rows else [[]] * 5
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["anchor", "ctx", "left", "multi", "bytes"])
+                for w in wanted.as_py():
+                    rows.append((w["anchor"], w["ctx"], w["left"], w["multi"], data[w["pos"] - w["left"]:w["pos"] + w["right"]]))
+                    size += len(rows[-1][4])
+                    if size > GROUP_BYTES:  # many contexts to a text: no batch of all of them
+                        yield batch(rows)
+                        rows, size = [], 0
+            yield batch(rows)
 
     return texts.select("text", "wanted").mapInArrow(run, "anchor bigint, ctx bigint, `left` int, multi boolean, bytes binary")
 
