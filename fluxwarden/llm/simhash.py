@@ -15,10 +15,7 @@ Only distinct fingerprints take part, so copies cost nothing. A bucket emits a s
 its pairs: a member reached once is not compared again, so a dense bucket costs about its size. Components come
 from ``connected_components`` over documents that stand for a fingerprint.
 
-``WIDE`` is the same with longer fingerprints for copies that differ in more bits (``keep_one_of_each``): any two of
-a bucket are compared, as words three and four bits apart often share a codeword too. Measured on pairs of given
-bit error rates, two of the four segments share keys for 82 % of pairs at shingle similarity 0.8, 91 % at 0.85 and
-97 % at 0.9; chains of copies find each other by transitivity.
+``keep_one_of_each`` drops the near copies of ``near_copies``, by shingle similarity instead of fingerprints alone.
 
 Defined results: a null text is the empty text, a text without words has fingerprint zero; a text with fewer words
 than a shingle has one shingle, the whole sequence; a null id stays in the result and never names a component if
@@ -57,18 +54,25 @@ def word_blocks(data: bytes) -> Iterator[list[bytes]]:
         at = stop
 
 
-def fingerprint(data: bytes, width: int = 3, lanes: int = 1) -> np.ndarray:
-    """The fingerprint of a text: 64 bits for each lane. The first lane's hash is XXH64, others are mixed from it."""
-    counts, total, carry = np.zeros((lanes, 64), np.int64), 0, []
+def shingle_hashes(data: bytes, width: int) -> Iterator[np.ndarray]:
+    """XXH64 of all shingles of a text, in blocks; with fewer words than a shingle of the whole sequence."""
+    found, carry = False, []
     for words in word_blocks(data.lower()):
         words = carry + words
         if len(words) < width:
             carry = words
             continue
-        counts, total = _add(words, width, counts, total)
-        carry = words[len(words) - width + 1:]
-    if not total and carry:
-        counts, total = _add(carry, len(carry), counts, total)
+        yield _hashes(words, width)
+        found, carry = True, words[len(words) - width + 1:]
+    if not found and carry:
+        yield _hashes(carry, len(carry))
+
+
+def fingerprint(data: bytes, width: int = 3, lanes: int = 1) -> np.ndarray:
+    """The fingerprint of a text: 64 bits for each lane. The first lane's hash is XXH64, others are mixed from it."""
+    counts, total = np.zeros((lanes, 64), np.int64), 0
+    for hashes in shingle_hashes(data, width):
+        counts, total = _add(hashes, counts, total)
     return np.packbits(counts * 2 > total, axis=1, bitorder="little").view("<u8")[:, 0] if total else np.zeros(lanes, np.uint64)
 
 
@@ -81,15 +85,18 @@ def _lane(hashes: np.ndarray, lane: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _add(words: list[bytes], width: int, counts: np.ndarray, total: int) -> tuple[np.ndarray, int]:
+def _hashes(words: list[bytes], width: int) -> np.ndarray:
     joined = b" ".join(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
     starts = (ends - lengths)[: len(words) - width + 1]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter(
+    return np.fromiter(
         (digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends[width - 1:].tolist())), np.uint64, len(starts)
     )
+
+
+def _add(hashes: np.ndarray, counts: np.ndarray, total: int) -> tuple[np.ndarray, int]:
     for at in range(0, len(hashes), 1 << 16):
         block = hashes[at:at + (1 << 16)]
         lanes = [np.unpackbits(_lane(block, k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little") for k in range(len(counts))]
@@ -275,14 +282,12 @@ def near_duplicates(
     return rows.join(component, names).select("doc_id", "fp", "component_id")
 
 
-#: For copies of five-word shingle similarity 0.8 and more: 128 bits, of which about 19 differ at 0.8; four segments.
-WIDE = {"width": 5, "max_bits": 22, "segments": ((0, 23), (23, 23), (46, 23), (69, 23)), "lanes": 2, "all_keys": True}
-
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, without near copies: of each component of ``near_copies`` the row of the
+    smallest id stays, and one of the rows that share it. Rows with a null id all stay."""
+    from fluxwarden.llm.near_copies import near_copies
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, all columns, without near copies: of each component the row of the smallest id stays,
-    and one of the rows that share it. Rows with a null id all stay."""
-    found = near_duplicates(docs, id_col, text_col, **(options or WIDE))
+    found = near_copies(docs, id_col, text_col)
     gone = found.filter("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
     kept = docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
     repeated = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_twice"))

@@ -1,0 +1,70 @@
+"""Near copies against brute-force five-word Jaccard similarity of at least 0.8."""
+
+import itertools
+import random
+
+import pytest
+
+from fluxwarden.llm import near_copies, simhash
+
+SF = "/root/testdata/sf0.001"
+
+
+def plain(text):
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").split()
+    return {tuple(words[i:i + 5]) for i in range(len(words) - 4)} or ({tuple(words)} if words else set())
+
+
+def similar(a, b):
+    return a == b or 5 * len(a & b) >= 4 * len(a | b)
+
+
+def components(rows):
+    """(component by id, number of links) of (id, text)."""
+    sets = [(i, plain(t)) for i, t in rows]
+    root, links = {i: i for i, _ in rows}, 0
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for (i, a), (j, b) in itertools.combinations(sets, 2):
+        if similar(a, b):
+            links += 1
+            x, y = sorted((find(i), find(j)))
+            root[y] = x
+    return {i: find(i) for i in root}, links
+
+
+def changed(rng, words, n):
+    words = list(words)
+    for at in rng.sample(range(5, len(words) - 5), n):
+        words[at] = "".join(rng.choices("abcdefghijkl", k=6))
+    return words
+
+
+@pytest.fixture(scope="module")
+def planted():
+    """Texts of 300 words with one to fifteen words changed: similarity from 0.97 down to 0.6, many close to 0.8."""
+    rng, rows = random.Random(8), []
+    for k in range(120):
+        words = ["".join(rng.choices("abcdefghijkl", k=5)) for _ in range(300)]
+        rows.append((10 * k, " ".join(words)))
+        rows += [(10 * k + c, " ".join(changed(rng, words, 1 + (k + 4 * c) % 15))) for c in range(1, 4)]
+    return rows
+
+
+def test_clean_documents_stay(spark, planted):
+    """No document without a text of similarity 0.8 is dropped, also where the similarity is little below."""
+    expected, _ = components(planted)
+    kept = simhash.keep_one_of_each(spark.createDataFrame(planted, "doc_id bigint, text string"))
+    assert {r.doc_id for r in kept.collect()} == set(expected.values())
+
+
+def test_short_texts_and_edges(spark):
+    rows = [(1, None), (2, ""), (3, "Ab cD"), (4, "ab\tcd"), (None, "ab cd"), (5, "é"), (6, "a b c d e f g h i"), (7, "a b c d e f g h")]
+    done = near_copies.near_copies(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    got = sorted((r.doc_id or 0, r.component_id) for r in done.collect())
+    assert got == [(0, 3), (1, 1), (2, 1), (3, 3), (4, 3), (5, 5), (6, 6), (7, 6)]
+    assert near_copies.near_copies(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
