@@ -55,6 +55,13 @@ def planted():
     return rows
 
 
+def test_components_are_brute_force(spark, planted):
+    expected, links = components(planted)
+    done = near_copies.near_copies(spark.createDataFrame(planted, "doc_id bigint, text string"))
+    assert {r.doc_id: r.component_id for r in done.collect()} == expected
+    assert 100 < links < 500
+
+
 def test_clean_documents_stay(spark, planted):
     """No document without a text of similarity 0.8 is dropped, also where the similarity is little below."""
     expected, _ = components(planted)
@@ -62,9 +69,29 @@ def test_clean_documents_stay(spark, planted):
     assert {r.doc_id for r in kept.collect()} == set(expected.values())
 
 
+def test_large_groups_and_chains(spark, monkeypatch):
+    """Groups far above the bound of a bucket, whose members are not all similar to one another."""
+    monkeypatch.setattr(near_copies, "FIRST", 3)
+    rng, rows = random.Random(3), []
+    for k in range(4):
+        words = ["".join(rng.choices("abcdefghijkl", k=5)) for _ in range(200)]
+        near = [words]
+        for _ in range(60):
+            near.append(changed(rng, rng.choice(near[-6:] if k % 2 else near[:1]), rng.choice([2, 3, 4, 6, 8])))
+        rows += [(100 * k + i, " ".join(w)) for i, w in enumerate(near)]
+    done = near_copies.near_copies(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert {r.doc_id: r.component_id for r in done.collect()} == components(rows)[0]
+
+
 def test_short_texts_and_edges(spark):
     rows = [(1, None), (2, ""), (3, "Ab cD"), (4, "ab\tcd"), (None, "ab cd"), (5, "é"), (6, "a b c d e f g h i"), (7, "a b c d e f g h")]
     done = near_copies.near_copies(spark.createDataFrame(rows, "doc_id bigint, text string"))
     got = sorted((r.doc_id or 0, r.component_id) for r in done.collect())
     assert got == [(0, 3), (1, 1), (2, 1), (3, 3), (4, 3), (5, 5), (6, 6), (7, 6)]
     assert near_copies.near_copies(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_documents_are_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    expected, _ = components([(r.doc_id, r.text) for r in docs.collect()])
+    assert {r.doc_id: r.component_id for r in near_copies.near_copies(docs).collect()} == expected
