@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fluxwarden.llm import chat, chunks, cover_tree, kneser_ney, mixing, packing, simhash, suffix_array, toxicity, url_templates
+from fluxwarden.llm import (
+    chat, chunks, cover_tree, kneser_ney, mixing, packing, quality_rules, simhash, suffix_array, toxicity, url_templates,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_kneser_ney": kneser_ney.query,
@@ -19,8 +21,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.query,
     "op10_simhash": simhash.query,
     "op2_chat_format": chat.query,
+    "op12_quality_rules": quality_rules.query,
 }
 
 ORACLE: dict[str, str] = {
     "op2_chat_format": chat.ORACLE_SQL,
+    "op12_quality_rules": quality_rules.ORACLE_SQL,
 }
