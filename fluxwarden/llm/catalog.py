@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from fluxwarden.llm import (
-    chat, chunks, cover_tree, kneser_ney, mixing, packing, quality_rules, simhash, suffix_array, toxicity, url_templates,
+    chat, chunks, cover_tree, hard_negatives, kneser_ney, mixing, packing, quality_rules, simhash, suffix_array, toxicity,
+    url_templates,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -22,9 +23,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": simhash.query,
     "op2_chat_format": chat.query,
     "op12_quality_rules": quality_rules.query,
+    "op13_hard_negatives": hard_negatives.query,
 }
 
 ORACLE: dict[str, str] = {
     "op2_chat_format": chat.ORACLE_SQL,
     "op12_quality_rules": quality_rules.ORACLE_SQL,
+    "op13_hard_negatives": hard_negatives.ORACLE_SQL,
 }
