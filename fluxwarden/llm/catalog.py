@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from fluxwarden.llm import (
-    chat, chunks, cover_tree, hard_negatives, kneser_ney, mixing, packing, quality_rules, simhash, suffix_array, toxicity,
-    url_templates,
+    chat, chunks, cover_tree, hard_negatives, kneser_ney, mixing, packing, quality_rules, simhash, spelling, suffix_array,
+    toxicity, url_templates,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.query,
     "op10_simhash": simhash.query,
     "op2_chat_format": chat.query,
+    "op11_spelling_variants": spelling.query,
     "op12_quality_rules": quality_rules.query,
     "op13_hard_negatives": hard_negatives.query,
 }
