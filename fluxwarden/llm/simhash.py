@@ -13,9 +13,9 @@ A fingerprint has a bit set where more than half of a text's shingle hashes have
 
 Only distinct fingerprints take part, so copies cost nothing. A bucket emits a spanning forest of its links, never
 its pairs: a member reached once is not compared again, so a dense bucket costs about its size. Components come
-from ``connected_components`` over documents that stand for a fingerprint.
+from ``connected_components`` over fingerprints.
 
-``keep_one_of_each`` drops the near copies of ``near_copies``, by shingle similarity instead of fingerprints alone.
+``keep_one_of_each`` keeps one row of each component; it tells rows apart by id and text.
 
 Defined results: a null text is the empty text, a text without words has fingerprint zero; a text with fewer words
 than a shingle has one shingle, the whole sequence; a null id stays in the result and never names a component if
@@ -108,19 +108,21 @@ def lane_columns(lanes: int) -> list[str]:
     return ["fp", *(f"fp{k}" for k in range(1, lanes))]
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, lanes: int = 1) -> DataFrame:
-    """(doc_id, fp, fp1, ...): the fingerprint as signed longs, computed where the rows lie."""
-    names = lane_columns(lanes)
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, lanes: int = 1, digest: bool = False) -> DataFrame:
+    """(doc_id, fp, fp1, ..., [digest]): the fingerprint as signed longs, computed where the rows lie; digest: MD5 of the text."""
+    names, extra = lane_columns(lanes), ["digest"] if digest else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t.as_py(), width, lanes) for t in b.column(1)], np.uint64).reshape(-1, lanes).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(fps[:, k].copy()) for k in range(lanes))], ["doc_id", *names])
+            found = [b.column(0), *(pa.array(fps[:, k].copy()) for k in range(lanes)), *b.columns[2:]]
+            yield pa.RecordBatch.from_arrays(found, ["doc_id", *names, *extra])
 
     rows = text_of(docs, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    schema = ", ".join([f"doc_id {kind}", *(f"{n} bigint" for n in names)])
-    return rows.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
+    schema = ", ".join([f"doc_id {kind}", *(f"{n} bigint" for n in names), *(f"{c} binary" for c in extra)])
+    text = F.col("text").cast("binary")
+    return rows.select("doc_id", text.alias("text"), *(F.unhex(F.md5(text)).alias(c) for c in extra)).mapInArrow(run, schema)
 
 
 def _remainder(words: np.ndarray) -> np.ndarray:
@@ -259,43 +261,42 @@ def bucket_links(rows: DataFrame, max_bits: int = MAX_BITS, all_keys: bool = Fal
     return dealt.mapInArrow(run, ", ".join(f"{e} bigint" for e in ends)).distinct()
 
 
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, max_bits: int = MAX_BITS,
-    segments=SEGMENTS, lanes: int = 1, all_keys: bool = False,
-) -> DataFrame:
-    """(doc_id, fp, component_id) for every row: the smallest id reachable over links, the row's own included."""
-    stages, names = Stages(docs.sparkSession), lane_columns(lanes)
-    rows = stages.keep(fingerprints(docs, id_col, text_col, width, lanes))
-    reps = stages.keep(rows.groupBy(names).agg(F.min("doc_id").alias("rep")))
-    links = stages.keep(bucket_links(bucket_rows(reps.select(names), segments), max_bits, all_keys))
-    one, two = ([n.replace("fp", side) for n in names] for side in "ab")
-    edges = (
-        links.join(reps.select(*(F.col(n).alias(x) for n, x in zip(names, one)), F.col("rep").alias("x")), one)
-        .join(reps.select(*(F.col(n).alias(x) for n, x in zip(names, two)), F.col("rep").alias("y")), two)
-        .select(F.col("x").alias("a"), F.col("y").alias("b"))
-        .dropna()
-    )
-    found = connected_components(edges)
-    component = reps.join(found, reps["rep"] == found["id"], "left").select(
-        *names, F.coalesce("component", "rep").alias("component_id")
-    )
-    return rows.join(component, names).select("doc_id", "fp", "component_id")
+def grouped(rows: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """(fp, group, component_id) for every fingerprint of ``rows`` (doc_id, fp): a name of its component, and the
+    smallest id there. Nodes are fingerprints, not ids, so an id with several texts connects nothing."""
+    stages = Stages(rows.sparkSession)
+    reps = stages.keep(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    links = stages.keep(bucket_links(bucket_rows(reps.select("fp")), max_bits))
+    found = connected_components(links)
+    nodes = reps.join(found, reps["fp"] == found["id"], "left").select("fp", "rep", F.coalesce("component", "fp").alias("group"))
+    least = nodes.groupBy("group").agg(F.min("rep").alias("component_id"))
+    return nodes.select("fp", "group").join(least, "group")
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, without near copies: of each component of ``near_copies`` the row of the
-    smallest id stays, and one of the rows that share it. Rows with a null id all stay."""
-    from fluxwarden.llm.near_copies import near_copies
-
-    found = near_copies(docs, id_col, text_col)
-    gone = found.filter("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
-    repeated = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_twice"))
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, max_bits: int = MAX_BITS) -> DataFrame:
+    """(doc_id, fp, component_id) for every row: the smallest id reachable over links, the row's own included."""
+    rows = Stages(docs.sparkSession).keep(fingerprints(docs, id_col, text_col, width))
+    return rows.join(grouped(rows, max_bits), "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows of ``docs``, all columns whatever their names, one of each component: that of the smallest id, of
+    several texts with this id the one of the least digest, of equal rows any one. Rows with a null id all stay."""
+    stages = Stages(docs.sparkSession)
+    digest = F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("doc_id"), digest.alias("digest"))
+    rows = stages.keep(fingerprints(docs, id_col, text_col, width, digest=True).filter("doc_id is not null"))
+    me, own = F.struct("doc_id", "digest"), ["doc_id", "digest"]
+    members = stages.keep(rows.join(grouped(rows, max_bits).select("fp", "group"), "fp").groupBy("group", *own).count())
+    stays = members.groupBy("group").agg(F.min(me).alias("stays"))
+    gone = members.join(stays, "group").filter(me != F.col("stays")).select(own)
+    kept = whole.join(gone, own, "left_anti")
+    repeated = members.filter("count > 1").select(own)
     if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated, F.col(id_col) == F.col("_twice"), "left_anti")
-    twice = kept.join(repeated, F.col(id_col) == F.col("_twice"), "left_semi").dropDuplicates([id_col])
-    return once.unionByName(twice)
+        return kept.select("row.*")
+    once = kept.join(repeated, own, "left_anti").select("row.*")
+    twice = kept.join(repeated, own, "left_semi").groupBy(own).agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return once.unionByName(twice.select("row.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """SimHash near-duplicates against a brute-force version, and the edge cases of the docstring."""
 
+import hashlib
 import itertools
 import random
 import re
@@ -91,22 +92,35 @@ def test_edges(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
 
-def test_wide_fingerprints_find_copies(spark):
+def test_one_of_each_by_brute_force(spark):
     rng = random.Random(8)
-    word = lambda: "".join(rng.choices("abcdefghijkl", k=5))
-    rows, copies = [], 0
-    for k in range(0, 3000, 10):
-        words = [word() for _ in range(300)]
-        rows.append((k, " ".join(words)))
-        if k % 30 == 0:  # three words changed: similarity about 0.9
-            for at in (40, 150, 260):
-                words[at] = word()
-            rows.append((k + 1, " ".join(words)))
-            copies += 1
+    words = [f"w{k}" for k in range(900)]
+    rows = []
+    for k in range(0, 900, 10):
+        text = rng.choices(words, k=120)
+        rows.append((k, " ".join(text)))
+        if k % 30 == 0:
+            text[rng.randrange(120)] = "other"
+            rows.append((k + 1, " ".join(text)))
     rows += [(0, rows[0][1]), (None, "x"), (None, "x"), (5000, None), (5001, "")]
-    kept = simhash.keep_one_of_each(spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id bigint, text string, fp int"))
-    assert kept.columns == ["doc_id", "text", "fp"]
-    ids = [r.doc_id for r in kept.collect()]
-    assert set(range(0, 3000, 10)) <= set(ids) and ids.count(0) == 1 and ids.count(None) == 2
-    assert sum(1 for i in ids if i is not None and i % 10 == 1 and i < 5000) < 0.1 * copies
-    assert 5000 in ids and 5001 not in ids
+    rows += [(5, rows[4][1]), (5, rows[8][1]), (5, "quite another text of its own"), (2, "b one text"), (6, "b one text"), (2, "a second text of the same id")]
+    frame = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id bigint, text string, fp int, digest int")
+    kept = simhash.keep_one_of_each(frame)
+    assert kept.columns == frame.columns
+    left = [(r.doc_id, r.text) for r in kept.collect()]
+    named = sorted({(i, t or "") for i, t in rows if i is not None}, key=lambda r: (r[0], hashlib.md5(r[1].encode()).digest()))
+    fps = {r: int(simhash.fingerprint(r[1].encode())[0]) for r in named}
+    expected, reached = [], set()
+    for r in named:
+        if r in reached:
+            continue
+        expected.append(r)
+        todo = [r]
+        while todo:
+            x = todo.pop()
+            near = [y for y in named if y not in reached and (fps[x] ^ fps[y]).bit_count() <= 3]
+            reached.update(near)
+            todo += near
+    assert sorted((i, t or "") for i, t in left if i is not None) == sorted(expected)
+    assert [t for i, t in left if i is None] == ["x", "x"]
+    assert simhash.keep_one_of_each(frame.filter("doc_id > 9999")).count() == 0
