@@ -151,9 +151,11 @@ def near_vectors(
     stages = Stages(spark)
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("v"))
     good = rows.filter(usable(F.col("v")) & F.col("vec_id").isNotNull())
-    reps = stages.keep(good.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
+    # a distinct vector has a number of its own: an id may have several vectors
+    vectors = stages.keep(good.groupBy("v").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies")))
+    reps = stages.keep(vectors.withColumn("rep", F.monotonically_increasing_id()))
     sizes = [r[0] for r in reps.groupBy(F.size("v")).count().orderBy("count", ascending=False).collect()]
-    parts = [_links(stages, reps.filter(F.size("v") == n), cosine, block_rows, sample_rows, max_leaves) for n in sizes]
+    parts = [_links(stages, reps.filter(F.size("v") == n).select("v", "rep", "copies"), cosine, block_rows, sample_rows, max_leaves) for n in sizes]
     if not parts:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     found = parts[0]
@@ -161,9 +163,10 @@ def near_vectors(
         found = found.union(p)
     counts = found.filter("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     component = connected_components(found.filter("b is not null").select("a", "b"))
-    known = reps.join(counts, "rep", "left").join(component, F.col("rep") == F.col("id"), "left").select(
+    named = reps.join(component, F.col("rep") == F.col("id")).groupBy("component").agg(F.min("least").alias("name"))
+    known = reps.join(counts, "rep", "left").join(component.join(named, "component"), F.col("rep") == F.col("id"), "left").select(
         "v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"),
-        F.coalesce("component", "rep").alias("component_id"),
+        F.coalesce("name", "least").alias("component_id"),
     )
     return rows.join(known, "v", "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),

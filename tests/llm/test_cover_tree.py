@@ -70,3 +70,9 @@ def test_edges(spark):
     assert cover_tree.near_vectors(frame.filter("vec_id > 99")).count() == 0
     repeated = cover_tree.near_vectors(frame.filter("vec_id = 9").union(frame.filter("vec_id = 9"))).collect()
     assert [tuple(r) for r in repeated] == [(9, 1, 9, True)] * 2
+
+
+def test_one_id_with_several_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (3, [1.0, 0.01]), (4, [0.0, -1.0])]
+    done = cover_tree.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()
+    assert sorted(tuple(r) for r in done) == [(1, 0, 1, True), (1, 1, 1, True), (3, 1, 1, False), (4, 0, 4, True)]
