@@ -92,6 +92,9 @@ class WordEncoder:
             if b"<|" in w:
                 parts.append((w, w, b""))
             elif stem.isascii():
+                if stem and not stem[-1:].isalnum():  # a control character before the punctuation
+                    parts.append((w, w, b""))
+                    continue
                 parts.append((w, stem.lower(), w[len(stem):]))
             else:
                 text = stem.decode("utf-8", "replace")
@@ -149,8 +152,10 @@ def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
             out: list[list] = [[], [], [], [], [], []]
             for id_, text in zip(b.column(0), b.column(1)):
                 for k, ids in enumerate(cut(encoder, text.as_py())):
-                    for column, value in zip(out, (id_.as_py(), k, k * capacity, len(ids) // 4, zlib.crc32(ids), ids)):
+                    for column, value in zip(out, (id_.as_py(), k, k * capacity, len(ids) // 4, zlib.crc32(ids))):
                         column.append(value)
+                    if with_ids:
+                        out[5].append(ids)
             types = [b.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()][: 5 + with_ids]
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names)

@@ -53,10 +53,16 @@ def test_words_have_the_ids_of_the_text():
     assert np.frombuffer(b"".join(encoder.blocks(text.encode())), "<u4").tolist() == whole
 
 
+def test_control_characters_before_punctuation():
+    encoder, tokenizer = packing.WordEncoder.of_process(VOCABULARY), Tokenizer.from_file(VOCABULARY)
+    for text in ("\x00'", "a\x01!", "\x7f..", "x\x00'S", "_'", "\x02"):
+        assert np.frombuffer(b"".join(encoder.blocks(text.encode())), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
 def test_random_words_have_their_ids():
     tokenizer, encoder, rng = Tokenizer.from_file(VOCABULARY), packing.WordEncoder.of_process(VOCABULARY), random.Random(1)
-    signs = list("aB'éÉ\u0301İǰJ\u030cK1½!.,…<|>startoftext \n\u3000\xa00’sßΣ가각ี-") + ["<|endoftext|>", "'S"]
-    for _ in range(3000):
+    signs = list("aB'éÉ\u0301İǰJ\u030cK1½!.,…<|>startoftext \n\u3000\xa00’sßΣ가각ี-") + ["<|endoftext|>", "'S", "\x00", "\x01", "\x7f", "\x1f"]
+    for _ in range(8000):
         text = "".join(rng.choices(signs, k=rng.randint(1, 12)))
         got = np.frombuffer(b"".join(encoder.blocks(text.encode())), "<u4").tolist()
         assert got == tokenizer.encode(text, add_special_tokens=False).ids, text
