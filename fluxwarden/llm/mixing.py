@@ -9,14 +9,14 @@ documents (smallest hashes of their ids). The evidence of a text counts as that
 posteriors stay soft and a text of two languages belongs to both.
 
 Fit: with a_d = tokens_d * posterior_d and M = sum of tokens_d * posterior_d posterior_d', a step is
-``r_d <- max(floor, r_d - posterior_d . M^-1 (sum r a - target))``. This is the projected gradient of the least-squares
+``r_d <- clip(r_d - posterior_d . M^-1 (sum r a - target), floor, ceiling)``. This is the projected gradient of the least-squares
 residual in the norm of M^-1, scaled by 1 / tokens_d, whose step length 1 is the inverse of its Lipschitz constant.
-A step needs one sum per domain from each task; the driver sees a vector of as many numbers as there are domains.
+Rates end at ``CEILING``: a domain whose documents cannot meet its target stays below it. A step needs one sum per
+domain from each task; the driver sees a vector of as many numbers as there are domains.
 A document's rate follows from the residuals of all steps, so no state is kept but a compact table of
 (doc_id, tokens, posterior) in the shared folder.
 
-Defined results: a null text is the empty text with no tokens, the prior as posterior and rate ``max(floor, 1)`` plus
-what its posterior adds; null ids and repeated rows are kept, each with its rate; without labelled documents there
+Defined results: a null text is the empty text with no tokens, the prior as posterior and rate ``max(floor, 1)``; null ids and repeated rows are kept, each with its rate; without labelled documents there
 is one domain ``all``; target domains that no document is labelled with are ignored, and the weights of the others
 scaled to one; an empty table gives an empty result; extra columns are ignored by ``fit_rates``.
 """
@@ -36,6 +36,8 @@ from fluxwarden.llm.common import Stages, text_of
 BUCKETS = 1 << 16
 SAMPLE_DOCS = 20_000
 EVIDENCE = 32
+CEILING = 1000.0
+COPIES = 10_000
 MAX_STEPS = 25
 CACHE_WORDS = 400_000
 
@@ -112,12 +114,13 @@ def memberships(docs: DataFrame, classifier: Classifier, id_col: str = "doc_id",
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, tokens bigint, posterior array<double>")
 
 
-def rates(posterior: np.ndarray, moves: list[np.ndarray], floor: float) -> np.ndarray:
-    """The rates after the given steps, by document."""
-    r = np.full(len(posterior), max(1.0, floor))
+def rates(posterior: np.ndarray, tokens: np.ndarray, moves: list[np.ndarray], floor: float, ceiling: float = CEILING) -> np.ndarray:
+    """The rates after the given steps, by document; a document without tokens stays where it starts."""
+    start = np.full(len(posterior), max(1.0, floor))
+    r = start
     for move in moves:
-        r = np.maximum(floor, r - posterior @ move)
-    return r
+        r = np.clip(r - posterior @ move, floor, max(ceiling, floor))
+    return np.where(np.asarray(tokens) > 0, r, start)
 
 
 def _matrix(b: pa.RecordBatch, k: int) -> np.ndarray:
@@ -161,7 +164,7 @@ def fit(table: DataFrame, domains: list[str], weights: dict[str, float] | None,
             break
         moves.append(inverse @ (reached - target))
         before, so_far = reached, list(moves)
-        reached = _sums(table, k, lambda t, p: (rates(p, so_far, floor) * t) @ p)
+        reached = _sums(table, k, lambda t, p: (rates(p, t, so_far, floor) * t) @ p)
         if np.abs(reached - before).sum() <= tolerance * 0.1 * max(target.sum(), 1e-9):
             break
     return moves, target, reached
@@ -176,7 +179,7 @@ def fit_rates(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rates(_matrix(b, k), moves, floor))], [*b.schema.names, "rate"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rates(_matrix(b, k), b.column("tokens").to_numpy(zero_copy_only=False), moves, floor))], [*b.schema.names, "rate"])
 
     names = F.array(*[F.lit(d) for d in classifier.domains])
     return table.mapInArrow(run, f"doc_id {kind}, tokens bigint, posterior array<double>, rate double").select(
@@ -199,11 +202,14 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None =
             if not len(b):
                 continue
             data = [(t or "").encode() for t in b.column(at).to_pylist()]
-            r = rates(np.array([classifier.posterior(words(t)) for t in data]), moves, floor)
+            found = [words(t) for t in data]
+            r = rates(np.array([classifier.posterior(w) for w in found]), np.array([len(w) for w in found]), moves, floor)
             ids = b.column(id_at).to_pylist()
             u = np.array([xxhash.xxh64_intdigest(f"{i}:".encode() + t, 7) / 2**64 for i, t in zip(ids, data)])
             copies = np.floor(r).astype(np.int64) + (u < r - np.floor(r))
-            yield b.take(pa.array(np.repeat(np.arange(len(b)), copies)))
+            ends = np.cumsum(copies)
+            for first in range(0, int(ends[-1]), COPIES):  # no batch of all copies of a row
+                yield b.take(pa.array(np.searchsorted(ends, np.arange(first, min(first + COPIES, int(ends[-1]))), side="right")))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -32,7 +32,7 @@ def test_fit_is_least_squares(spark, floor):
     table = spark.createDataFrame([(k, int(t[k]), p[k].tolist()) for k in range(400)], "doc_id bigint, tokens bigint, posterior array<double>")
     weights = {"a": 0.2, "b": 0.2, "c": 0.6}
     moves, target, reached = mixing.fit(table, list("abc"), weights, floor, max_steps=25, tolerance=1e-8)
-    r = mixing.rates(p, moves, floor)
+    r = mixing.rates(p, t, moves, floor)
     assert r.min() >= floor and np.allclose((r * t) @ p, reached)
     inverse = np.linalg.inv((p * t[:, None]).T @ p)  # plain projected gradient from the same start
     plain = np.ones(400)
@@ -41,6 +41,7 @@ def test_fit_is_least_squares(spark, floor):
         plain = np.maximum(floor, plain - p @ (inverse @ residual[-1]))
         residual.append((plain * t) @ p - target)
     norms = [x @ inverse @ x for x in residual]
+    plain = np.where(t > 0, plain, max(1.0, floor))
     assert np.allclose(plain, r, atol=1e-6) and all(b <= a + 1e-12 for a, b in zip(norms, norms[1:]))
     if not floor:
         assert norms[-1] < 1e-3 * norms[0]
@@ -66,6 +67,7 @@ def test_edges(spark):
     for labelled in (none, some):
         rows = mixing.fit_rates(docs, labelled, {"en": 0.5, "zz": 0.5}).collect()
         assert sorted(r.tokens for r in rows) == [0, 0, 1, 2, 140_000]
-        assert all(r.rate >= 0 for r in rows)
-        assert mixing.mix(docs, labelled).count() >= 5
+        assert all(0 <= r.rate <= mixing.CEILING and (r.tokens or r.rate == 1) for r in rows)
+        mixed = [r.rate for r in mixing.mix(docs, labelled).collect()]
+        assert set(mixed) == {0.0, 1.0, 2.0, 3.0, 4.0} and mixed.count(0.0) == mixed.count(1.0) == 1
         assert mixing.fit_rates(docs.limit(0), labelled).count() == 0
