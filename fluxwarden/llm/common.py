@@ -49,6 +49,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names with as many underscores in front as make them new to the columns of ``df``."""
+    taken, front = {c.lower() for c in df.columns}, "_"
+    while any((front + n).lower() in taken for n in names):
+        front += "_"
+    return [front + n for n in names]
+
+
 def text_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text, a null text as the empty one. Other columns, whatever their names, are left out."""
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -13,10 +13,13 @@ is removed; strings are judged on the input. Texts are UTF-8 bytes and matches n
    comparisons find the common extension by binary search over prefix polynomial hashes (of words of eight bytes,
    then the byte in the word), and so are the reversed
    prefixes. Neighbours in these orders give what any two members share behind and before the anchor, and with it
-   the runs of windows that repeat. Every match is verified byte by byte.
+   the runs of windows that repeat. Matches found by the sort are verified byte by byte.
 4. Anchors with more than ``hot`` different contexts (edges of a passage that very many documents have)
    are not gathered: their windows are counted by 128-bit hash with Spark aggregations, which gives the same answer.
 
+Hashes stand for bytes in three places: equal texts by MD5, equal contexts of one anchor by 64 bits (and the 40 bits
+of the anchor's own hash), windows of hot anchors by 128 bits.
+
 Defined results: a null text is the empty text; texts shorter than ``length`` lose nothing; of repeated rows and
 copies every byte goes, as each has another start elsewhere; null ids are kept; an empty table gives an empty result;
 extra columns are ignored by ``dedup`` and kept by ``remove_repeats``. Texts are hashed in blocks.
@@ -31,11 +34,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fluxwarden.llm.common import Stages, partitions, release
+from fluxwarden.llm.common import Stages, free_names, partitions, release
 
 LENGTH = 400
 GRAM = 32
-HOT = 40_000
+HOT = 4_000
 BLOCK_BYTES = 1 << 20
 GROUP_BYTES = 1 << 22
 BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2^64
@@ -365,8 +368,8 @@ def _sorted_groups(contexts: DataFrame, length: int, gram: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns)):
+        for columns in _slices(batches):
+            for row in zip(*columns):
                 if held and held[-1][:2] == row[:2]:
                     continue  # one context of each kind
                 if size > GROUP_BYTES and held[-1][0] != row[0]:
@@ -381,26 +384,59 @@ def _sorted_groups(contexts: DataFrame, length: int, gram: int) -> DataFrame:
     return dealt.sortWithinPartitions("anchor", "ctx").mapInArrow(run, f"anchor bigint, ctx bigint, spans {SPANS}")
 
 
-def _counted_windows(stages: Stages, contexts: DataFrame, length: int, gram: int) -> DataFrame:
-    """The same for contexts of hot anchors, window by window: a window repeats if two contexts have it."""
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+    """The columns of batches as lists, a thousand rows at a time."""
+    for b in batches:
+        for at in range(0, len(b), 1000):
+            yield [c.to_pylist() for c in b.slice(at, 1000).columns]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for anchor, ctx, left, data in zip(*(b.column(i).to_pylist() for i in range(4))):
-                first, last = -min(left, length - gram), min(0, len(data) - left - length)
-                starts = range(first, last + 1)
-                hashes = [xxhash.xxh3_128_digest(data[left + s:left + s + length]) for s in starts]
-                n = len(hashes)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([anchor] * n, pa.int64()), pa.array([ctx] * n, pa.int64()), pa.array(list(starts), pa.int32()), pa.array(hashes, pa.binary())],
-                    ["anchor", "ctx", "start", "window"],
-                )
-
-    windows = stages.keep(contexts.select("anchor", "ctx", "left", "bytes").mapInArrow(run, "anchor bigint, ctx bigint, start int, window binary"))
-    # at one offset from one anchor, so that a window met through two of its document's anchors is not its own copy
-    place = ["anchor", "start", "window"]
-    twice = windows.groupBy(place).agg(F.min("ctx").alias("a"), F.max("ctx").alias("b")).filter("a != b").select(place)
-    found = windows.join(twice, place).groupBy("anchor", "ctx").agg(F.array_sort(F.collect_set("start")).alias("starts"))
+
+def _counted_windows(stages: Stages, contexts: DataFrame, length: int, gram: int) -> DataFrame:
+    """The same for contexts of hot anchors: a window repeats if two contexts have it.
+
+    First the bytes that all windows of a cell of ``step`` starts share are counted, one piece for each cell. A window
+    that repeats has a repeated piece at its cell, so only the windows of such cells are counted one by one."""
+    step = max(1, min(24, length // 2))
+    held = stages.keep(contexts.select("anchor", "ctx", "left", "bytes"))
+    digest = xxhash.xxh3_128_digest
+
+    def bounds(left: int, size: int) -> tuple[int, int]:
+        return -min(left, length - gram), min(0, size - left - length)
+
+    def batch(rows: list[tuple], name: str) -> pa.RecordBatch:
+        columns = list(zip(*rows)) if rows else [[]] * 4
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["anchor", "ctx", name, "hash"])
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in _slices(batches):
+            rows = []
+            for anchor, ctx, left, data in zip(*columns):
+                first, last = bounds(left, len(data))
+                for cell in range(first // step, last // step + 1 if first <= last else first // step):
+                    rows.append((anchor, ctx, cell, digest(data[left + cell * step + step - 1:left + cell * step + length])))
+            yield batch(rows, "cell")
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in _slices(batches):
+            rows = []
+            for anchor, ctx, left, data, cells in zip(*columns):
+                first, last = bounds(left, len(data))
+                for cell in cells:
+                    for s in range(max(first, cell * step), min(last, cell * step + step - 1) + 1):
+                        rows.append((anchor, ctx, s, digest(data[left + s:left + s + length])))
+            yield batch(rows, "start")
+
+    def twice(rows: DataFrame, name: str) -> DataFrame:
+        # at one offset from one anchor, so that a window met through two of its document's anchors is not its own copy
+        place = ["anchor", name, "hash"]
+        shared = rows.groupBy(place).agg(F.min("ctx").alias("a"), F.max("ctx").alias("b")).filter("a != b").select(place)
+        return rows.join(shared, place).groupBy("anchor", "ctx").agg(F.array_sort(F.collect_set(name)).alias(f"{name}s"))
+
+    schema = "anchor bigint, ctx bigint, {} int, hash binary"
+    open_cells = twice(stages.keep(held.mapInArrow(pieces, schema.format("cell"))), "cell")
+    there = held.join(open_cells, ["anchor", "ctx"]).select("anchor", "ctx", "left", "bytes", "cells")
+    found = twice(stages.keep(there.mapInArrow(windows, schema.format("start"))), "start")
     far = lambda a, b: a.isNull() | b.isNull() | (a - b > 1)
     first = F.filter("starts", lambda x, i: far(x, F.get("starts", i - 1)))
     last = F.filter("starts", lambda x, i: far(F.get("starts", i + 1), x))
@@ -470,19 +506,24 @@ def _kept(data: bytes, whole: bool | None, spans, length: int) -> tuple[bytes, l
     return b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])), [tuple(r) for r in runs]
 
 
-def _with_removals(docs: DataFrame, id_col: str, text_col: str, length: int, hot: int) -> DataFrame:
+def _with_removals(docs: DataFrame, id_col: str, text_col: str, length: int, hot: int) -> tuple[DataFrame, list[str]]:
+    """``docs`` with the bytes of the text, whole and spans, and the names of these columns."""
+    names = free_names(docs, "bytes", "whole", "spans", "own", "id", "digest")
+    data, whole, spans, own, id_, digest = names
     found = removals(docs, id_col, text_col, length, hot).select(
-        F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("whole").alias("_whole"), F.col("spans").alias("_spans")
+        F.col("doc_id").alias(id_), F.col("digest").alias(digest), F.col("whole").alias(whole), F.col("spans").alias(spans)
     )
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    rows = docs.withColumn("_text", text).withColumn("_own", F.unhex(F.md5("_text")))
-    return rows.join(found, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_digest")), "left").drop("_id", "_own", "_digest")
+    rows = docs.withColumn(data, text).withColumn(own, F.unhex(F.md5(data)))
+    joined = rows.join(found, F.col(id_col).eqNullSafe(F.col(id_)) & (F.col(own) == F.col(digest)), "left")
+    return joined.select(*docs.columns, data, whole, spans), names[:3]
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, kept, removed) for every row; removed: (start, end) of the maximal runs."""
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = _with_removals(plain, "doc_id", "text", length, hot).select("doc_id", "_text", "_whole", "_spans")
+    rows, found = _with_removals(plain, "doc_id", "text", length, hot)
+    rows = rows.select("doc_id", *found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -503,7 +544,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """The rows of ``docs``, all columns, their texts without the repeated bytes (characters cut apart go as well) and
     ``chars_col`` counted again where a text changed."""
-    rows = _with_removals(docs, id_col, text_col, length, hot)
+    rows, _ = _with_removals(docs, id_col, text_col, length, hot)
     columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -521,7 +562,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 arrays[columns.index(chars_col)] = pa.array(chars, b.schema.field(chars_col).type)
             yield pa.RecordBatch.from_arrays(arrays, columns)
 
-    return rows.select(*columns, "_text", "_whole", "_spans").mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,9 +93,11 @@ def test_blocks_do_not_matter():
 def test_edges(spark):
     same, long = "passage " * 60, "é" * 90_000
     rows = [(1, None, 0), (2, "", 0), (None, same, 0), (None, same, 0), (4, same[:399], 0), (5, "x" + same[:400], 0), (6, long, 0), (7, "tiny", 0), (7, "tiny", 0)]
-    frame = spark.createDataFrame([(i, t, len(t or ""), "z") for i, t, _ in rows], "doc_id bigint, text string, n_chars bigint, digest string")
+    frame = spark.createDataFrame([(i, t, len(t or ""), "z") for i, t, _ in rows], "doc_id bigint, text string, n_chars bigint, _text string")
     expected = sorted(((i if i is not None else -1), *x) for (i, _, _), x in zip(rows, plain([r[1] for r in rows], 400)))
     assert ours(suffix_array.dedup(frame)) == expected
+    for name in ("_own", "_id", "_spans", "_bytes"):  # columns of any name
+        assert suffix_array.remove_repeats(frame.withColumnRenamed("_text", name)).columns[-1] == name
     kept = suffix_array.remove_repeats(frame)
     assert kept.columns == frame.columns
     assert {(r.doc_id, r.text) for r in kept.collect()} >= {(1, None), (2, ""), (None, ""), (4, same[:399]), (7, "tiny")}
