@@ -18,7 +18,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity 0.8 and more."""
+    """One document of each group of near copies: fingerprints of three-word shingles, three or fewer differing bits."""
     return simhash.keep_one_of_each(docs)
 
 
