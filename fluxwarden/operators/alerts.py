@@ -15,21 +15,22 @@ def only_alerts(events: DataFrame) -> DataFrame:
 def alert_device(alerts: DataFrame, registry: DataFrame) -> DataFrame:
     """Device of each alert: the first registry entry among its MACs, else null.
 
-    ``alerts``: ``seq`` and ``macs`` (colon form); ``registry``: ``device_mac,
-    position``.
+    ``alerts``: ``seq`` (unique) and ``macs`` (colon form); ``registry``:
+    ``device_mac, position``. An alert's other columns travel along, so it
+    meets its device again without a join.
     """
     entries = registry.select(
         F.translate(F.lower("device_mac"), "-", ":").alias("_mac"), F.col("device_mac"), "position"
     )
-    exploded = alerts.withColumn("_mac", F.explode_outer("macs"))
+    exploded = alerts.select("seq", F.struct(*alerts.columns).alias("_alert"), F.explode_outer("macs").alias("_mac"))
     matched = exploded.join(entries, "_mac", "left")
-    first = matched.groupBy("seq").agg(F.min_by("device_mac", "position").alias("device_mac"))
-    return alerts.join(first, "seq")
+    first = matched.groupBy("seq").agg(F.first("_alert").alias("_alert"), F.min_by("device_mac", "position").alias("device_mac"))
+    return first.select("_alert.*", "device_mac")
 
 
-def alert_rollup(alerts: DataFrame) -> DataFrame:
-    """Occurrences and first time, in arrival order, per device and signature."""
-    return alerts.groupBy("device_mac", "signature").agg(
+def alert_rollup(alerts: DataFrame, keys: tuple[str, ...] = ("device_mac",)) -> DataFrame:
+    """Occurrences and first time, in arrival order, per device (or other keys) and signature."""
+    return alerts.groupBy(*keys, "signature").agg(
         F.min_by("ts_us", "seq").alias("first_occurrence"), F.count(F.lit(1)).alias("number_occurrences")
     )
 
@@ -55,7 +56,7 @@ def alert_rollup_compat(alerts: DataFrame, bits: int = ordered.BLOCK_BITS) -> Da
     return counted.unionByName(single)
 
 
-def as_report_entries(rollup: DataFrame) -> DataFrame:
+def as_report_entries(rollup: DataFrame, keys: tuple[str, ...] = ("device_mac",)) -> DataFrame:
     """Alert structs of a device in report form."""
     entry = F.struct(
         F.lit("Alert").alias("type"),
@@ -64,4 +65,4 @@ def as_report_entries(rollup: DataFrame) -> DataFrame:
         F.col("number_occurrences"),
         F.lit(100).alias("score"),
     )
-    return rollup.groupBy("device_mac").agg(F.sort_array(F.collect_list(entry)).alias("suricata"))
+    return rollup.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("suricata"))

@@ -119,18 +119,20 @@ class Adam:
 ROW_COLUMNS = ["device_mac", "_part", "_epoch", "vec_seq", "vector", "params", "moment1", "moment2", "steps"]
 
 
-def _with_models(rows: DataFrame, models: DataFrame, partitions: int) -> DataFrame:
-    """Data rows sorted behind the model row of their (device, part)."""
+def _with_models(rows: DataFrame, models: DataFrame, partitions: int, tags: tuple[str, ...] = ()) -> DataFrame:
+    """Data rows sorted behind the model row of their (device, part). ``tags`` are columns that travel with the rows."""
     null_array = F.lit(None).cast("array<double>")
     data = rows.select(
         "device_mac", "_part", "_epoch", "vec_seq", "vector",
         null_array.alias("params"), null_array.alias("moment1"), null_array.alias("moment2"), F.lit(0).cast("long").alias("steps"),
+        *tags,
     )
     # A damaged model has no parameters: its device is scored like one without a model.
     usable = models.filter("params is not null")
     heads = rows.select("device_mac", "_part").distinct().join(usable, "device_mac").select(
         "device_mac", "_part", F.lit(-1).alias("_epoch"), F.lit(None).cast("long").alias("vec_seq"),
         null_array.alias("vector"), "params", "moment1", "moment2", "steps",
+        *[F.lit(0).cast(rows.schema[t].dataType).alias(t) for t in tags],
     )
     return (
         heads.unionByName(data)
@@ -164,15 +166,15 @@ def _score_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             score = np.full(len(piece), np.nan)
             if devices[start] == owner:
                 score = reconstruction_error(layers, np.stack(piece["vector"].to_numpy()).astype(np.float64))
-            yield pd.DataFrame({"device_mac": piece["device_mac"], "vec_seq": piece["vec_seq"], "score": score})
+            tagged = {c: piece[c] for c in pdf.columns if c not in ROW_COLUMNS}
+            yield pd.DataFrame({"device_mac": piece["device_mac"], "vec_seq": piece["vec_seq"], "score": score, **tagged})
 
 
-def score_windows(vectors: DataFrame, models: DataFrame, bits: int = ordered.BLOCK_BITS) -> DataFrame:
-    """Reconstruction error of ``(device_mac, vec_seq, vector)`` rows."""
+def score_windows(vectors: DataFrame, models: DataFrame, bits: int = ordered.BLOCK_BITS, tags: tuple[str, ...] = ()) -> DataFrame:
+    """Reconstruction error of ``(device_mac, vec_seq, vector)`` rows; ``tags`` names further columns to keep."""
     rows = vectors.withColumns({"_part": F.shiftright("vec_seq", bits), "_epoch": F.lit(0)})
-    return _with_models(rows, models, _partitions(vectors)).mapInPandas(
-        _score_batches, "device_mac string, vec_seq long, score double"
-    )
+    schema = ["device_mac string, vec_seq long, score double", *(f"{t} {vectors.schema[t].dataType.simpleString()}" for t in tags)]
+    return _with_models(rows, models, _partitions(vectors), tags).mapInPandas(_score_batches, ", ".join(schema))
 
 
 def _train_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

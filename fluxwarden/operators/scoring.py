@@ -33,9 +33,11 @@ def anomaly_flags(scores: DataFrame, bits: int = ordered.BLOCK_BITS) -> DataFram
     return near.withColumn("is_anomaly", lookback_flag(frame, F.col("score"), F.col("threshold"))).drop("_prev")
 
 
-def anomaly_counts(flags: DataFrame) -> DataFrame:
-    return flags.groupBy("device_mac").agg(
-        F.count(F.lit(1)).alias("windows"), F.sum(F.col("is_anomaly").cast("long")).alias("num_anomalies")
+def anomaly_counts(flags: DataFrame, keys: tuple[str, ...] = ("device_mac",), sums: tuple[str, ...] = ()) -> DataFrame:
+    """Windows and anomalies of a device or other keys, and the sums of further columns."""
+    return flags.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("windows"), F.sum(F.col("is_anomaly").cast("long")).alias("num_anomalies"),
+        *[F.sum(c).alias(c) for c in sums],
     )
 
 

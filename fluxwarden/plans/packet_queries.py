@@ -323,15 +323,19 @@ _MEANS = {
     "is_broadcast_mean": "avg(is_broadcast::int)",
 }
 
-_FEATURES_SQL = f"""with {duck('packets', 'device_registry')}, {_ENDS}, {_LOCAL},
+def features_sql(views: str, digits: int | None = 6) -> str:
+    """The features of the packets of ``views``, a list of common table expressions with ``packets`` and ``device_registry``."""
+    columns = [(_NATIVE.get(n, n), n) for n in FT.FEATURES]
+    shown = ", ".join(f"round({e}, {digits}) as {n}" if digits else f"({e})::double as {n}" for e, n in columns)
+    return f"""with {views}, {_ENDS}, {_LOCAL},
 known as (select * from local where device_mac in (select device_mac from device_registry)),
 usable as (select * from known where (capture_id, device_mac) in
  (select (capture_id, device_mac) from known group by capture_id, device_mac having max(ts_us) - min(ts_us) > 60000000)),
 {_win('usable')}, {_LAGGED}, {_MEASURES},
 agg as (select capture_id, device_mac, windowid, {_NATIVE_AGG}, {', '.join(f'{e} as {n}' for n, e in _MEANS.items())}
  from measured group by 1, 2, 3)
-select capture_id, device_mac, windowid,
- {', '.join(f'round({_NATIVE.get(n, n)}, 6) as {n}' for n in FT.FEATURES)} from agg"""
+select capture_id, device_mac, windowid, {shown} from agg"""
+
 
 ORACLE = {
     "device_traffic": f"""with {duck('packets', 'device_registry')}
@@ -382,8 +386,8 @@ t as (select capture_id, count(*) filter (disposition = 'accepted') as packets,
  coalesce(sum(frame_len) filter (disposition = 'accepted'), 0)::bigint as total_bytes,
  count(*) filter (disposition not in ('accepted', 'unknown_device')) as faults, count(*) as frames from labelled group by 1)
 select *, round(faults / frames, 6) as fault_ratio, case when packets > 0 then null when faults > 0 then
- concat('Pcap read in successfuly, but no valid packets found in pcap. ', faults, ' errors occurred.')
- else 'Pcap read in successfuly, but 0 packets found in pcap.' end as error from t""",
+ concat('{TR.NO_VALID_PACKETS.split("{}")[0]}', faults, '{TR.NO_VALID_PACKETS.split("{}")[1]}')
+ else '{TR.NO_PACKETS}' end as error from t""",
     "geo_ranges": f"with {duck('geo_ranges')}, {_GEO} select * from geo",
     "geo_lookup": f"""with {duck('packets', 'geo_ranges')}, {_GEO}, ips as (select distinct remote_ip from packets)
 select remote_ip, {_COUNTRY.format(ip='remote_ip')} as country from ips""",
@@ -419,5 +423,5 @@ select capture_id, device_mac, windowid, count(*) as packets,
  count(distinct (proto, device_ip, remote_ip, device_port, remote_port)) as flows, count(distinct src_ip) as src_ips,
  count(distinct dst_ip) as dst_ips, count(distinct (least(src_ip, dst_ip), greatest(src_ip, dst_ip))) as connections
 from exploded group by 1, 2, 3""",
-    "window_features": _FEATURES_SQL,
+    "window_features": features_sql(duck("packets", "device_registry")),
 }
