@@ -129,7 +129,11 @@ def enough_packets(spark, sf):
 
 
 def capture_totals(spark, sf):
-    totals = TR.capture_totals(_labelled(spark, sf))
+    frames = view(spark, sf, "raw_frames").select("capture_id")
+    # the last two captures: one could not be read, one has no frame
+    extra = frames.agg(F.max("capture_id").alias("last")).select(F.explode(F.array(F.col("last") + 1, F.col("last") + 2)).alias("capture_id"))
+    failures = extra.groupBy().agg(F.min("capture_id").alias("capture_id")).withColumn("read_error", F.lit("truncated record header"))
+    totals = TR.capture_totals(_labelled(spark, sf), frames.distinct().unionByName(extra), failures)
     return totals.select(
         "capture_id", _long("packets"), _long("total_bytes"), _long("faults"), _long("frames"),
         _r(F.col("fault_ratio"), "fault_ratio"), "error",
@@ -382,10 +386,14 @@ select seq, in_order::int::bigint as in_order from flagged""",
 select capture_id, device_mac, min(ts_us) as first_ts, max(ts_us) as last_ts, count(*) as packets,
  (max(ts_us) - min(ts_us) > 60000000)::int::bigint as enough from packets group by 1, 2""",
     "capture_totals": f"""with {duck('raw_frames', 'device_registry')}, {_LABELLED},
-t as (select capture_id, count(*) filter (disposition = 'accepted') as packets,
+seen as (select capture_id, count(*) filter (disposition = 'accepted') as packets,
  coalesce(sum(frame_len) filter (disposition = 'accepted'), 0)::bigint as total_bytes,
- count(*) filter (disposition not in ('accepted', 'unknown_device')) as faults, count(*) as frames from labelled group by 1)
-select *, round(faults / frames, 6) as fault_ratio, case when packets > 0 then null when faults > 0 then
+ count(*) filter (disposition not in ('accepted', 'unknown_device')) as faults, count(*) as frames from labelled group by 1),
+ends as (select max(capture_id) as last from seen),
+t as (select *, null as read_error from seen union all
+ select last + 1, 0, 0, 0, 0, 'truncated record header' from ends union all select last + 2, 0, 0, 0, 0, null from ends)
+select * exclude (read_error), case when frames = 0 then 0 else round(faults / frames, 6) end as fault_ratio,
+ case when read_error is not null then read_error when packets > 0 then null when faults > 0 then
  concat('{TR.NO_VALID_PACKETS.split("{}")[0]}', faults, '{TR.NO_VALID_PACKETS.split("{}")[1]}')
  else '{TR.NO_PACKETS}' end as error from t""",
     "geo_ranges": f"with {duck('geo_ranges')}, {_GEO} select * from geo",

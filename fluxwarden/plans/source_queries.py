@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..functions import scalars as S
 from ..operators import logs, models as M, packets as P
 from ..session import shared_dir
-from ..sources import captures as C, files, stores
+from ..sources import captures as C, files, ranges, stores
 from . import synthetic
 from .fixtures import duck, table, view
 
@@ -40,6 +40,20 @@ def read_captures(spark, sf):
     )
 
 
+def capture_ranges(spark, sf):
+    """The same frames from files on disk, each read by several tasks."""
+    contents = synthetic.capture_files(view(spark, sf, "raw_frames"))
+    root = _scratch(spark, "captures")
+    ranges.write_files(contents.select(F.concat(F.col("capture_id").cast("string"), F.lit(".pcap")).alias("name"), "content"), root)
+    frames = ranges.read_ranges(spark, root, range_bytes=100_000, max_frame=4096)
+    capture = F.regexp_extract("path", r"(\d+)\.pcap$", 1).cast("long")
+    place = F.row_number().over(Window.partitionBy("path").orderBy("seq")) - 1  # the number of a frame, for the comparison
+    return frames.select(
+        capture.alias("capture_id"), place.cast("long").alias("seq"), "ts_us", F.length("frame").cast("long").alias("frame_len"),
+        F.hex(F.substring("frame", 7, 6)).alias("src"),
+    )
+
+
 def decode_frames(spark, sf):
     frames = P.decode_frames(synthetic.frames_of_packets(view(spark, sf, "packets")))
     fields = ["frame_len", "eth_type", "proto", "src_ip", "dst_ip", "src_port", "dst_port", "ip_ttl", "tcp_flags"]
@@ -165,7 +179,7 @@ def report_sink(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        capture_admission, read_captures, decode_frames, packets_from_captures, device_registry, read_alerts,
+        capture_admission, read_captures, capture_ranges, decode_frames, packets_from_captures, device_registry, read_alerts,
         telemetry_parse, log_tail, log_lines, artifact_digest, feature_store_append, model_store, score_windows,
         score_windows_sql, report_sink,
     )
@@ -201,14 +215,17 @@ _MAGIC_ROWS = ", ".join(
 _DOC_LINES = """lines as (select doc_id as file, unnest(generate_series(0, len(parts) - 1)) as line_no, unnest(parts) as line
  from (select doc_id, string_split(text, chr(10)) as parts from documents))"""
 
+_READ = f"""with {duck('raw_frames')}
+select seq // 500 as capture_id, seq % 500 as seq, ts_us, frame_len,
+ case when frame_len < 12 then upper(replace(src_mac, '-', ''))[1:2 * (frame_len - 6)] else upper(replace(src_mac, '-', '')) end as src
+from raw_frames"""
+
 ORACLE = {
     "capture_admission": f"""select event_id, magic, accepted::bigint as accepted, readable::bigint as readable, byte_order, resolution,
  long_records::bigint as long_records from events
  join (values {_MAGIC_ROWS}) as m(k, magic, accepted, readable, byte_order, resolution, long_records) on event_id % 8 = k""",
-    "read_captures": f"""with {duck('raw_frames')}
-select seq // 500 as capture_id, seq % 500 as seq, ts_us, frame_len,
- case when frame_len < 12 then upper(replace(src_mac, '-', ''))[1:2 * (frame_len - 6)] else upper(replace(src_mac, '-', '')) end as src
-from raw_frames""",
+    "read_captures": _READ,
+    "capture_ranges": _READ,
     "decode_frames": f"""with {duck('packets')}
 select seq, case when is_outgoing then device_mac else '02-00-00-00-00-01' end as src_mac,
  case when is_outgoing then '02-00-00-00-00-01' else device_mac end as dst_mac, packet_length as frame_len, 2048::bigint as eth_type,
