@@ -5,12 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import scalars as S
-from . import ordered
+from . import ordered, panes as PN
 from .packets import PROTO_TCP, with_endpoints, with_flow, with_locality
-from .windows import (
-    IAT_CAP_US, STRIDE_US, WINDOW_KEYS, _first_in_window, _flow_differs, anchored, explode_windows, only_enough,
-    with_carry,
-)
+from .windows import IAT_CAP_US, STRIDE_US, WINDOW_KEYS, _flow_differs, anchored, only_enough, with_carry
 
 # Names and order of the feature vector.
 FEATURES = [
@@ -63,30 +60,30 @@ MEAN_FLAGS = [
 ] + list(S.TCP_FLAG_BITS) + ["is_tcp", "is_global", "is_multicast", "is_broadcast"]
 
 
-def _native_aggregates() -> list[Column]:
+def _native_sums() -> dict[str, Column]:
     length = F.col("packet_length")
-    return [
-        F.count(F.lit(1)).alias("n"),
-        F.sum("is_out").alias("n_out"),
-        F.sum(length).alias("bytes"),
-        F.sum(F.when(F.col("is_out") == 1, length).otherwise(0)).alias("bytes_out"),
-        ((F.max("ts_us") - F.min("ts_us")) / F.lit(1e6)).alias("seconds"),
-    ]
+    return {
+        "n": F.lit(1), "n_out": F.col("is_out"), "bytes": length, "bytes_out": F.when(F.col("is_out") == 1, length).otherwise(0),
+    }
 
 
-def distinct_counts(exploded: DataFrame) -> DataFrame:
-    """Exact distinct flows, addresses and unordered address pairs per window.
+def _times() -> list[Column]:
+    return [F.min("ts_us").alias("first_ts_us"), F.max("ts_us").alias("last_ts_us")]
 
-    Duplicates are dropped before anything is counted, and rows are spread by
-    (window, value), so neither a busy window nor a busy flow is one task.
-    """
-    return exploded.groupBy(*WINDOW_KEYS).agg(
-        F.count(F.lit(1)).alias("packets"),
-        F.countDistinct("flow_a", "flow_b").alias("flows"),
-        F.countDistinct("src_ip").alias("src_ips"),
-        F.countDistinct("dst_ip").alias("dst_ips"),
-        F.countDistinct(F.least("src_ip", "dst_ip"), F.greatest("src_ip", "dst_ip")).alias("connections"),
-    )
+
+def _spans() -> list[Column]:
+    """Duration and distinct counts of a window."""
+    seconds = (PN.greatest("last_ts_us") - PN.least("first_ts_us")) / F.lit(1e6)
+    return [seconds.alias("seconds"), *[PN.distinct(c).alias(c) for c in PN.DISTINCTS]]
+
+
+def window_distincts(packets: DataFrame, bits: int = ordered.BLOCK_BITS) -> DataFrame:
+    """Packets and exact distinct flows, addresses and unordered address pairs per window."""
+    rows = PN.with_pane(anchored(with_flow(with_endpoints(packets)), bits, previous=False))
+    values = {"packets": F.lit(1)}
+    windows = PN.windows_of(PN.aggregate(rows, [PN.sums(values)]))
+    found = windows.select(*WINDOW_KEYS, PN.total(1).alias("sums"), *[PN.distinct(c).alias(c) for c in PN.DISTINCTS])
+    return found.select(*WINDOW_KEYS, *PN.named(values), *PN.DISTINCTS)
 
 
 def _native_columns() -> dict[str, Column]:
@@ -116,20 +113,32 @@ def _native_columns() -> dict[str, Column]:
 
 def window_native(packets: DataFrame, bits: int = ordered.BLOCK_BITS) -> DataFrame:
     """The 13 features that need no packet order."""
-    exploded = explode_windows(anchored(packet_measures(packets), bits, previous=False))
-    sums = exploded.groupBy(*WINDOW_KEYS).agg(*_native_aggregates())
-    both = sums.join(distinct_counts(exploded).drop("packets"), WINDOW_KEYS)
+    rows = PN.with_pane(anchored(packet_measures(packets), bits, previous=False))
+    values = _native_sums()
+    windows = PN.windows_of(PN.aggregate(rows, [PN.sums(values), *_times()])).select(*WINDOW_KEYS, PN.total(len(values)).alias("sums"), *_spans())
     columns = _native_columns()
-    return both.select(*WINDOW_KEYS, *[c.alias(name) for name, c in columns.items()])
+    inputs = windows.select(*WINDOW_KEYS, "seconds", *PN.DISTINCTS, *PN.named(values))
+    return inputs.select(*WINDOW_KEYS, *[c.alias(name) for name, c in columns.items()])
 
 
-def _median_with(values: Column, extra: Column) -> Column:
-    """Median of an array after adding one value."""
-    s = F.sort_array(F.concat(values, F.array(extra)))
-    size = F.size(s)
-    low = F.element_at(s, F.floor((size + 1) / 2).cast("int"))
-    high = F.element_at(s, F.floor(size / 2).cast("int") + 1)
-    return (low + high) / 2
+LISTED = ["payload_len_scaled", "ip_ttl_norm"]
+EDGE = ["flow_a", "flow_b"]
+
+
+def _pane_sums() -> dict[str, Column]:
+    """What is added up over the packets of a pane, and over the panes of a window. The pane's first packet is kept apart
+    from the changes: whether its row before lies in the window depends on the window."""
+    changes = F.when(F.col("pane_first"), 0).otherwise(F.col("changed"))
+    return {**_native_sums(), "changes": changes, **{f"{c}_sum": F.col(c) for c in LISTED}, **{c: F.col(c) for c in MEAN_FLAGS}}
+
+
+def _pane_aggregates() -> list[Column]:
+    iat = F.when(~F.col("pane_first"), F.col("iat_scaled"))
+    first = F.struct("ts_us", *EDGE, "iat_scaled", "changed")
+    return [
+        PN.sums(_pane_sums()), *_times(), F.min_by(first, "seq").alias("first"), F.max_by(F.struct("ts_us", *EDGE), "seq").alias("last"),
+        F.sort_array(F.collect_list(iat)).alias("iats"), *[F.sort_array(F.collect_list(c)).alias(c) for c in LISTED],
+    ]
 
 
 def window_features(packets: DataFrame, bits: int = ordered.BLOCK_BITS, carry: DataFrame | None = None) -> DataFrame:
@@ -145,63 +154,59 @@ def window_features(packets: DataFrame, bits: int = ordered.BLOCK_BITS, carry: D
     depends on the device's previous capture and is added after aggregation, so
     one pass over the packets is enough.
     """
-    rows = only_enough(anchored(packet_measures(packets), bits))
-    exploded = explode_windows(rows)
-    first = _first_in_window()
-    known = F.col("prev_ts_us").isNotNull()
-    overlap = F.col("ts_us") < F.col("windowid") + 2 * STRIDE_US
-    iat_us = F.when(first & overlap, F.lit(0)).otherwise(F.col("ts_us") - F.col("prev_ts_us"))
+    rows = PN.with_pane(only_enough(anchored(packet_measures(packets), bits)))
+    start = F.col("first_ts") + F.col("pane") * STRIDE_US
     changed = (F.col("flow_a") != F.col("prev_flow_a")) | (F.col("flow_b") != F.col("prev_flow_b"))
-    exploded = exploded.withColumns(
-        {"iat_scaled": F.when(known, S.log_cap(iat_us, IAT_CAP_US)), "inner_change": _one(~first & changed)}
+    rows = rows.withColumns(
+        {
+            "pane_first": F.col("prev_ts_us").isNull() | (F.col("prev_ts_us") < start),
+            "iat_scaled": S.log_cap(F.col("ts_us") - F.col("prev_ts_us"), IAT_CAP_US),
+            "changed": _one(F.coalesce(changed, F.lit(False))),
+        }
     )
+    windows = PN.windows_of(PN.aggregate(rows, _pane_aggregates()))
+    values = _pane_sums()
     opening = F.col("_k") == 0
-    aggregates = [
-        *_native_aggregates(),
-        F.min("_k").alias("_k"),
-        F.sum("inner_change").alias("changes"),
-        *[F.min_by(c, "seq").alias(f"first_{c}") for c in ("flow_a", "flow_b")],
-        *[F.max_by(c, "seq").alias(f"last_{c}") for c in ("flow_a", "flow_b")],
-        F.min("ts_us").alias("first_ts_us"),
-        F.max("ts_us").alias("last_ts_us"),
-        F.min("iat_scaled").alias("iat_min"),
-        F.max("iat_scaled").alias("iat_max"),
-        F.sum("iat_scaled").alias("iat_sum"),
-        F.percentile(F.when(~opening, F.col("iat_scaled")), 0.5).alias("iat_median"),
-        # Opening window of the capture only: 60 s of one device.
-        F.collect_list(F.when(opening, F.col("iat_scaled"))).alias("opening_iats"),
-    ]
-    for name in ("payload_len_scaled", "ip_ttl_norm"):
-        aggregates += [
-            F.min(name).alias(f"{name}_min"),
-            F.max(name).alias(f"{name}_max"),
-            F.percentile(name, 0.5).alias(f"{name}_median"),
-            F.avg(name).alias(f"{name}_mean"),
-        ]
-    aggregates += [F.avg(name).alias(f"{name}_mean") for name in MEAN_FLAGS]
-    aggregates.append(F.avg("is_out").alias("is_outgoing_mean"))
-
-    summary = exploded.groupBy(*WINDOW_KEYS).agg(*aggregates)
-    summary = with_carry(summary.join(distinct_counts(exploded).drop("packets"), WINDOW_KEYS))
+    p0, later = F.col("p0"), [F.col("p1"), F.col("p2")]
+    overlap = p0["first"]["ts_us"] < F.col("windowid") + 2 * STRIDE_US
+    # the opening row of a capture waits for the carry
+    first_iat = F.when(opening, F.lit(None).cast("double")).when(overlap, 0.0).otherwise(p0["first"]["iat_scaled"])
+    iats = PN.joined(p0["iats"], F.array_compact(F.array(first_iat, *[p["first"]["iat_scaled"] for p in later])), *[p["iats"] for p in later])
+    changes = sum((F.coalesce(p["first"]["changed"], F.lit(0)) for p in later), F.lit(0))
+    last = F.coalesce(*[F.col(p)["last"] for p in ("p2", "p1", "p0")])
+    summary = windows.select(
+        *WINDOW_KEYS, "_k", PN.total(len(values)).alias("sums"), *_spans(), changes.alias("first_changes"), iats.alias("iats"),
+        p0["first"].alias("first"), last.alias("last"), *[PN.joined(p0[c], *[p[c] for p in later]).alias(c) for c in LISTED],
+    )
+    n = F.col("n")
+    order = [c for name in LISTED for c in (F.array_min(name).alias(f"{name}_min"), F.array_max(name).alias(f"{name}_max"), PN.median(F.col(name)).alias(f"{name}_median"))]
+    summary = summary.select(
+        *WINDOW_KEYS, "_k", "seconds", *PN.DISTINCTS, "first_changes", *PN.named(values), *order,
+        *[F.col(end)[c].alias(f"{end}_{c}") for end in ("first", "last") for c in ("ts_us", *EDGE)],
+        F.when(opening, F.col("iats")).alias("opening_iats"),  # 60 s of one device, once a capture
+        F.array_min("iats").alias("iat_min"), F.array_max("iats").alias("iat_max"),
+        F.aggregate("iats", F.lit(0.0), lambda a, x: a + x).alias("iat_sum"), F.when(~opening, PN.median(F.col("iats"))).alias("iat_median"),
+    )
+    summary = with_carry(summary)
     if carry is not None:
         old = carry.select("device_mac", *[F.col(f"carry_{c}").alias(f"_old_{c}") for c in ("ts_us", "flow_a", "flow_b")])
         summary = summary.join(old, "device_mac", "left").withColumns(
             {f"carry_{c}": F.coalesce(f"carry_{c}", f"_old_{c}") for c in ("ts_us", "flow_a", "flow_b")}
         )
     waited = F.greatest(F.coalesce(F.col("first_ts_us") - F.col("carry_ts_us"), F.lit(0)), F.lit(0))
-    is_opening = F.col("_k") == 0
     summary = summary.withColumn("first_iat", S.log_cap(waited, IAT_CAP_US)).withColumn(
         "first_change", _one(F.col("carry_flow_a").isNull() | _flow_differs("first", "carry"))
     )
-    extra = F.when(is_opening, F.col("first_iat"))
+    extra = F.when(opening, F.col("first_iat"))
     columns = {
         **_native_columns(),
-        "flow_change_mean": (F.col("changes") + F.col("first_change")) / F.col("n"),
+        "flow_change_mean": (F.col("changes") + F.col("first_changes") + F.col("first_change")) / n,
+        "is_outgoing_mean": F.col("n_out") / n,
+        **{f"{c}_mean": F.col(f"{c}_sum") / n for c in LISTED},
+        **{f"{c}_mean": F.col(c) / n for c in MEAN_FLAGS},
         "iat_scaled_min": F.least("iat_min", extra),
         "iat_scaled_max": F.greatest("iat_max", extra),
-        "iat_scaled_median": F.when(is_opening, _median_with(F.col("opening_iats"), F.col("first_iat"))).otherwise(
-            F.col("iat_median")
-        ),
+        "iat_scaled_median": F.when(opening, PN.median(F.concat("opening_iats", F.array("first_iat")))).otherwise(F.col("iat_median")),
         "iat_scaled_mean": (F.coalesce("iat_sum", F.lit(0.0)) + F.coalesce(extra, F.lit(0.0))) / F.col("n"),
     }
     final = [columns[name].alias(name) if name in columns else F.col(name) for name in FEATURES]

@@ -98,6 +98,19 @@ def preceding(
     )
 
 
+def previous(df: DataFrame, keys: list[str], order: list[str], block: Column, values: dict[str, str]) -> DataFrame:
+    """The row before in the key's order, over blocks that ``block`` cuts in this order: ``values`` maps new columns to
+    the columns they take from it."""
+    rows = df.withColumn(BLOCK, block)
+    inside = Window.partitionBy(*keys, BLOCK).orderBy(*order)
+    last = F.max_by(F.struct(*values.values()), F.struct(*order)).alias("_last")
+    by_block = Window.partitionBy(*keys).orderBy(BLOCK)
+    carry = rows.groupBy(*keys, BLOCK).agg(last).select(*keys, BLOCK, F.lag("_last").over(by_block).alias("_carry"))
+    local = rows.withColumns({"_here": F.lag(F.struct(*values.values())).over(inside)})
+    joined = local.join(carry, [*keys, BLOCK], "left").withColumn("_row", F.coalesce("_here", "_carry"))
+    return joined.withColumns({new: F.col("_row")[old] for new, old in values.items()}).drop("_here", "_carry", "_row", BLOCK)
+
+
 def latest(df: DataFrame, keys: list[str], order: str, k: int, bits: int = BLOCK_BITS) -> DataFrame:
     """The ``k`` newest rows of each key, narrowed per block before per key."""
     rows = with_block(df, order, bits)

@@ -107,12 +107,23 @@ def window_edges(exploded: DataFrame) -> DataFrame:
     return with_carry(edges)
 
 
+CAPTURES_BITS = 6
+ARRIVAL_DIGITS = 7
+
+
+def capture_block(rows: DataFrame) -> Column:
+    """Blocks of captures in the order of their ids: 64 numbers, or what shares the beginning of a text, which for the
+    ids of files is what arrived within three hours."""
+    if rows.schema["capture_id"].dataType.typeName() == "string":
+        return F.substring("capture_id", 1, ARRIVAL_DIGITS)
+    return F.shiftright(F.col("capture_id").cast("long"), CAPTURES_BITS)
+
+
 def with_carry(edges: DataFrame) -> DataFrame:
-    """One row per window, so ordering them per device stays small."""
-    history = Window.partitionBy("device_mac").orderBy("capture_id", "windowid")
-    return edges.withColumns(
-        {f"carry_{c}": F.lag(f"last_{c}").over(history) for c in ("ts_us", "flow_a", "flow_b")}
-    )
+    """The last row of the window before, of one row per window; the windows of a device are ordered in blocks of
+    captures."""
+    values = {f"carry_{c}": f"last_{c}" for c in ("ts_us", "flow_a", "flow_b")}
+    return ordered.previous(edges, ["device_mac"], ["capture_id", "windowid"], capture_block(edges), values)
 
 
 def _flow_differs(a: str, b: str) -> Column:

@@ -199,8 +199,7 @@ def window_native(spark, sf):
 
 
 def window_distincts(spark, sf):
-    exploded = W.sliding_windows(P.with_flow(P.with_endpoints(_packets(spark, sf))))
-    return FT.distinct_counts(exploded)
+    return FT.window_distincts(_packets(spark, sf)).select(*W.WINDOW_KEYS, *[_long(c) for c in ("packets", "flows", "src_ips", "dst_ips", "connections")])
 
 
 def window_features(spark, sf):

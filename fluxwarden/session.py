@@ -21,6 +21,8 @@ def build_session(app: str = "fluxwarden", cores: str = "*", shuffle_partitions:
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Call sites of every column expression cost more time than planning a query of hundreds of them.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 
