@@ -42,7 +42,7 @@ def outlier_subset(spark, sf):
 
 
 def score_density(spark, sf):
-    return TH.kernel_density(_scores(spark, sf), TH.REGION_BANDWIDTH).select(
+    return TH.kernel_density(_scores(spark, sf), TH.REGION_BANDWIDTH, reach=TH.REACH).select(
         "device_mac", F.col("pos").cast("long").alias("pos"), F.round("pdf", 4).alias("pdf")
     )
 

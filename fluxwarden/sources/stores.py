@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..session import cut_lineage
+
 FEATURE_BUCKETS = 256
 STATUS_SCHEMA = (
     "struct<current_size:bigint,distinct_hour_buckets:array<bigint>,distinct_day_buckets:array<bigint>,"
@@ -48,12 +50,19 @@ def load_features(spark: SparkSession, path: str, devices: DataFrame | None = No
     return rows.filter(F.col("device_bucket").isin(held)).join(wanted, ["device_bucket", key]).drop("device_bucket")
 
 
-def clear_features(spark: SparkSession, path: str, devices: DataFrame, target: str, key: str = "device_mac") -> None:
-    """Rewrite the store without the given devices into ``target``."""
-    rows = spark.read.parquet(path)
-    gone = devices.select(key).distinct().withColumn("_gone", F.lit(True))
-    kept = rows.join(gone, key, "left").filter("_gone is null").drop("_gone")
-    kept.write.mode("errorifexists").partitionBy("device_bucket").parquet(target)
+def clear_features(spark: SparkSession, path: str, devices: DataFrame, key: str = "device_mac", buckets: int = FEATURE_BUCKETS) -> None:
+    """Take the given devices out of the store. Only the buckets of these devices, at most ``buckets`` numbers, are read
+    and written again; the files of all others stay as they are."""
+    wanted = devices.select(key).distinct().withColumn("device_bucket", device_bucket(key, buckets))
+    held = [r[0] for r in wanted.select("device_bucket").distinct().collect()]
+    kept = spark.read.parquet(path).filter(F.col("device_bucket").isin(held)).join(wanted, ["device_bucket", key], "left_anti")
+    kept = cut_lineage(kept)  # the folders read are the folders written
+    left = {r[0] for r in kept.select("device_bucket").distinct().collect()}
+    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("device_bucket").parquet(path)
+    jvm = spark.sparkContext._jvm
+    for bucket in set(held) - left:  # nothing was written for these
+        folder = jvm.org.apache.hadoop.fs.Path(path, f"device_bucket={bucket}")
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

@@ -19,8 +19,8 @@ def test_feature_store_append_load_clear(spark, tmp_path):
     stores.append_features(rows.filter("id >= 20"), path)
     some = spark.createDataFrame([("d1",), ("d3",)], "device_mac string")
     assert sorted(r.id for r in stores.load_features(spark, path, some).collect()) == [i for i in range(40) if i % 2]
-    stores.clear_features(spark, path, some, str(tmp_path / "kept"))
-    assert sorted(r.id for r in stores.load_features(spark, str(tmp_path / "kept")).collect()) == [i for i in range(40) if i % 2 == 0]
+    stores.clear_features(spark, path, some)
+    assert sorted(r.id for r in stores.load_features(spark, path).collect()) == [i for i in range(40) if i % 2 == 0]
 
 
 def test_snapshots(spark, tmp_path):

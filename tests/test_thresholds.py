@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from fluxwarden.operators import scoring, thresholds as T
+from fluxwarden.plans.fixtures import view
 from fluxwarden.streaming.lookback import flag_scores
 
 
@@ -149,3 +150,14 @@ def test_stream_rule_equals_batch_rule(spark, scores):
             tail, at = np.concatenate([tail, part])[-15:], at + size
         assert flags == batch[name], name
         assert not any(flags[:15])
+
+
+def test_truncated_kernels_stay_within_their_bound(spark):
+    scores = view(spark, "/root/testdata/sf0.001", "scores")
+    whole = {(r.device_mac, r.pos): r.pdf for r in T.kernel_density(scores, T.REGION_BANDWIDTH).collect()}
+    near = {(r.device_mac, r.pos): r.pdf for r in T.kernel_density(scores, T.REGION_BANDWIDTH, reach=T.REACH).collect()}
+    peaks = {}
+    for (device, _), value in whole.items():
+        peaks[device] = max(peaks.get(device, 0.0), value)
+    assert set(whole) == set(near)
+    assert all(abs(whole[k] - near[k]) <= 1e-11 * max(peaks[k[0]], 1.0) for k in whole)
