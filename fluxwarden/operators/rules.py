@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import scalars as S
 
@@ -33,11 +34,17 @@ def rule_count(lines: DataFrame) -> DataFrame:
     return lines.agg(F.sum(F.when(is_enabled(F.col("line")), 1).otherwise(0)).cast("long").alias("enabled_rules"))
 
 
-_HEADER = r"^\s*#?\s*(\w+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(->|<>)\s+(\S+)\s+(\S+)\s*\("
+_SPEC = r"(!?\[[^\]]*\]|\S+)"  # an address or port, or a list
+_HEADER = rf"^\s*#?\s*(\w+)\s+(\S+)\s+{_SPEC}\s+{_SPEC}\s+(->|<>)\s+{_SPEC}\s+{_SPEC}\s*\("
 _OPTION = r'([A-Za-z_][A-Za-z0-9_.]*)(?::((?:"(?:[^"\\]|\\.)*"|[^";])*))?;'
-CONTENT_TYPE = "array<struct<buffer:string,text:string,nocase:boolean,depth:int>>"
-# Options that name the buffer the following contents look into.
-BUFFERS = ["http.header", "http.request_line", "http.header_names", "http.user_agent", "http.uri", "http.host", "dns.query"]
+CONTENT_TYPE = "array<struct<buffer:string,text:string,nocase:boolean,depth:int,negate:boolean>>"
+# Fixed value: the option that ends the use of a buffer.
+NO_BUFFER = "pkt_data"
+
+
+def _names_buffer(o: Column) -> Column:
+    """Options like ``http.uri`` without a value name the buffer that the following contents look into."""
+    return F.contains(o["k"], F.lit(".")) & (F.coalesce(o["v"], F.lit("")) == "")
 
 
 def decode_content(text: Column) -> Column:
@@ -62,7 +69,8 @@ def parse_rules(lines: DataFrame) -> DataFrame:
     keys = F.regexp_extract_all(body, F.lit(_OPTION), F.lit(1))
     values = F.regexp_extract_all(body, F.lit(_OPTION), F.lit(2))
     options = F.transform(F.arrays_zip(keys.alias("k"), values.alias("v")), lambda o: F.struct(
-        o["k"].alias("k"), F.trim(F.regexp_replace(F.trim(o["v"]), r'^"|"$', "")).alias("v")
+        o["k"].alias("k"), F.trim(F.regexp_replace(F.trim(o["v"]), r'^(!\s*)?"|"$', "")).alias("v"),
+        F.trim(o["v"]).startswith("!").alias("negate"),  # outside the quotes
     ))
     df = lines.select("*", *header, options.alias("_options"))
 
@@ -96,7 +104,7 @@ def _contents() -> Column:
             items,
             F.array(F.struct(
                 acc["buffer"].alias("buffer"), decode_content(o["v"]).alias("text"),
-                F.lit(False).alias("nocase"), F.lit(None).cast("int").alias("depth"),
+                F.lit(False).alias("nocase"), F.lit(None).cast("int").alias("depth"), o["negate"].alias("negate"),
             )).cast(CONTENT_TYPE),
         )
 
@@ -104,7 +112,7 @@ def _contents() -> Column:
             return F.transform(items, lambda c, i: F.when(
                 i == size - 1,
                 F.struct(c["buffer"].alias("buffer"), c["text"].alias("text"),
-                         (c["nocase"] | nocase).alias("nocase"), F.coalesce(depth, c["depth"]).alias("depth")),
+                         (c["nocase"] | nocase).alias("nocase"), F.coalesce(depth, c["depth"]).alias("depth"), c["negate"].alias("negate")),
             ).otherwise(c)).cast(CONTENT_TYPE)
 
         next_items = (
@@ -113,7 +121,7 @@ def _contents() -> Column:
             .when(o["k"] == "depth", modified(F.lit(False), o["v"].try_cast("int")))
             .otherwise(items)
         )
-        next_buffer = F.when(o["k"].isin(BUFFERS), o["k"]).otherwise(acc["buffer"])
+        next_buffer = F.when(_names_buffer(o), o["k"]).when(o["k"] == NO_BUFFER, "").otherwise(acc["buffer"])
         return F.struct(next_buffer.alias("buffer"), next_items.alias("items"))
 
     return F.aggregate("_options", start, step, lambda acc: acc["items"])
@@ -122,7 +130,9 @@ def _contents() -> Column:
 # --- matching ---------------------------------------------------------------
 
 GRAM = 4
-BODY = ["proto", "src", "src_port", "dst", "dst_port", "contents"]
+BODY = ["proto", "src", "src_port", "direction", "dst", "dst_port", "contents"]
+#: Patterns that an automaton in every task may hold: some hundred bytes each.
+MAX_PATTERNS = 200_000
 
 
 def _address_ok(spec: Column, ip: Column) -> Column:
@@ -135,7 +145,34 @@ def _address_ok(spec: Column, ip: Column) -> Column:
 
 
 def _port_ok(spec: Column, port: Column) -> Column:
-    return (spec == "any") | (spec.try_cast("int") == port)
+    """``any``, a port, a range ``low:high`` with open ends, lists of these in brackets, and ``!`` before any of them."""
+    whole = F.regexp_replace(spec, r"\s", "")
+    turned = whole.startswith("!")
+    parts = F.split(F.regexp_replace(whole, r"^!?\[?|\]$", ""), ",")
+
+    def meets(part: Column) -> Column:
+        ends = F.split(F.regexp_replace(part, "^!", ""), ":")
+        low, high = F.get(ends, F.lit(0)), F.coalesce(F.get(ends, F.lit(1)), F.get(ends, F.lit(0)))
+        least = F.when(low == "", 0).otherwise(low.try_cast("int"))
+        most = F.when(high == "", 65_535).otherwise(high.try_cast("int"))
+        return (part.isin("any", "!any")) | F.coalesce(port.between(least, most), F.lit(False))
+
+    taken, left = F.filter(parts, lambda x: ~x.startswith("!")), F.filter(parts, lambda x: x.startswith("!"))
+    listed = ((F.size(taken) == 0) | F.exists(taken, meets)) & ~F.exists(left, meets)
+    return F.when(spec == "any", True).when(turned, ~listed).otherwise(listed)
+
+
+def _header_ok() -> Column:
+    """Addresses and ports from source to destination, for ``<>`` also the other way."""
+    def way(src: str, src_port: str, dst: str, dst_port: str) -> Column:
+        return (
+            _address_ok(F.col("src"), F.col(src)) & _address_ok(F.col("dst"), F.col(dst))
+            & _port_ok(F.col("src_port"), F.col(src_port)) & _port_ok(F.col("dst_port"), F.col(dst_port))
+        )
+
+    there = way("src_ip", "event_src_port", "dst_ip", "event_dst_port")
+    back = way("dst_ip", "event_dst_port", "src_ip", "event_src_port")
+    return there | ((F.col("direction") == "<>") & back)
 
 
 def _grams(text: Column, size: int) -> Column:
@@ -148,52 +185,87 @@ def _body_key() -> Column:
     return F.sha2(F.to_json(F.struct(*BODY)), 256)
 
 
+def _usable() -> Column:
+    """Rules with something to look for: at least one content that must be there."""
+    return F.col("enabled") & F.exists("contents", lambda c: ~c["negate"])
+
+
 def rule_bodies(rules: DataFrame) -> DataFrame:
     """Rules that test the same thing, once: a body and how to find it.
 
-    The anchor is a short piece (up to four characters) of the first content in
-    lower case; a text that holds the content holds the anchor.
+    The pattern is its longest content in lower case; a text that holds the
+    content holds the pattern, and few texts hold a long one.
     """
-    bodies = rules.filter("enabled and size(contents) > 0").select(*BODY).distinct()
-    return bodies.withColumn("body", _body_key()).withColumn(
-        "_anchor", F.lower(F.substring(F.col("contents")[0]["text"], 1, GRAM))
-    )
+    bodies = rules.filter(_usable()).select(*BODY).distinct()
+    wanted = F.filter("contents", lambda c: ~c["negate"])
+    longest = F.array_max(F.transform(wanted, lambda c: F.struct(F.length(c["text"]).alias("n"), F.lower(c["text"]).alias("text"))))
+    return bodies.withColumn("body", _body_key()).withColumn("_pattern", longest["text"])
+
+
+def _search(patterns: list[str]):
+    """Arrow batches of (row, text) to (row, pattern) for every pattern that occurs in a text, by one automaton."""
+
+    def run(batches):
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for p in patterns:
+            automaton.add_word(p, p)
+        automaton.make_automaton()
+        for b in batches:
+            rows, found = [], []
+            for k, text in enumerate(b.column(b.num_columns - 1).to_pylist()):
+                hits = sorted({p for _, p in automaton.iter(text)}) if text else []
+                rows += [k] * len(hits)
+                found += hits
+            taken = b.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*taken.columns[:-1], pa.array(found, pa.string())], [*b.schema.names[:-1], "_pattern"])
+
+    return run
+
+
+def candidates(events: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Events with the bodies whose pattern occurs in their text, joined on protocol and pattern.
+
+    Up to ``MAX_PATTERNS`` patterns are searched by an automaton, all at once in
+    one pass over the text. Beyond that an event meets the patterns by their
+    first ``GRAM`` characters in a join, and keeps those that it holds.
+    """
+    text = F.lower(F.array_join(F.map_values("buffers"), "\n"))
+    patterns = [r[0] for r in bodies.filter("_pattern != ''").select("_pattern").distinct().limit(MAX_PATTERNS + 1).collect()]
+    if len(patterns) <= MAX_PATTERNS:
+        if not patterns:
+            return events.join(bodies.filter("_pattern != ''"), "proto")
+        schema = T.StructType([*events.schema.fields, T.StructField("_pattern", T.StringType())])
+        keyed = events.withColumn("_text", text).mapInArrow(_search(patterns), schema)
+        return keyed.join(bodies, ["proto", "_pattern"])
+    grams = F.array_distinct(F.concat(*[_grams(text, n) for n in (1, 2, 3, GRAM)]))
+    keyed = events.withColumn("_anchor", F.explode(grams))
+    short = bodies.withColumn("_anchor", F.substring("_pattern", 1, GRAM))
+    return keyed.join(short, ["proto", "_anchor"]).filter(F.contains(text, F.col("_pattern"))).drop("_anchor")
 
 
 def match_events(events: DataFrame, rules: DataFrame) -> DataFrame:
     """Pairs of event and rule body whose header and contents all match.
 
     ``events``: ``event_id, proto, src_ip, dst_ip, event_src_port,
-    event_dst_port`` and ``buffers``, a map buffer name -> text. Events meet only the bodies whose anchor occurs in
-    their text (an equi-join on protocol and anchor); contents are then tested
-    in full. Rules with equal bodies share the work.
+    event_dst_port`` and ``buffers``, a map buffer name -> text. Events meet only the bodies whose pattern occurs in
+    their text; contents are then tested in full. Rules with equal bodies share the work.
     """
-    bodies = rule_bodies(rules)
-    text = F.lower(F.array_join(F.map_values("buffers"), "\n"))
-    sizes = [1, 2, 3, GRAM]
-    grams = F.array_distinct(F.concat(*[_grams(text, n) for n in sizes]))
-    keyed = events.withColumn("_anchor", F.explode(grams))
-    candidates = keyed.join(bodies, ["proto", "_anchor"])
+    found = candidates(events, rule_bodies(rules))
     whole = F.array_join(F.map_values("buffers"), "\n")
 
     def holds(c: Column) -> Column:
         target = F.when(c["buffer"] == "", whole).otherwise(F.coalesce(F.try_element_at("buffers", c["buffer"]), F.lit("")))
         target = F.when(c["depth"].isNotNull(), F.substr(target, F.lit(1), c["depth"])).otherwise(target)
-        return F.when(c["nocase"], F.contains(F.lower(target), F.lower(c["text"]))).otherwise(
-            F.contains(target, c["text"])
-        )
+        there = F.when(c["nocase"], F.contains(F.lower(target), F.lower(c["text"]))).otherwise(F.contains(target, c["text"]))
+        return there != c["negate"]
 
-    return candidates.filter(
-        _address_ok(F.col("src"), F.col("src_ip"))
-        & _address_ok(F.col("dst"), F.col("dst_ip"))
-        & _port_ok(F.col("src_port"), F.col("event_src_port"))
-        & _port_ok(F.col("dst_port"), F.col("event_dst_port"))
-        & F.forall("contents", holds)
-    ).select("event_id", "body", *BODY)
+    return found.filter(_header_ok() & F.forall("contents", holds)).select("event_id", "body", *BODY)
 
 
 def rule_hits(events: DataFrame, rules: DataFrame) -> DataFrame:
     """Matched events per rule: counted per body, then given to its rules."""
     per_body = match_events(events, rules).groupBy("body").agg(F.count(F.lit(1)).alias("hits"))
-    keyed = rules.filter("enabled and size(contents) > 0").withColumn("body", _body_key())
+    keyed = rules.filter(_usable()).withColumn("body", _body_key())
     return keyed.join(per_body, "body").select("rule_sid", "msg", "hits")
