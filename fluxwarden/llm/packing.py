@@ -66,6 +66,10 @@ class WordEncoder:
             holder.__dict__[path] = WordEncoder(path)
         return holder.__dict__[path]
 
+    def forget(self) -> None:
+        """Free the tables at a task's end: the worker goes on to other stages, and a task meets more words than they hold."""
+        self.words, self.stems = {}, {}
+
     def blocks(self, data: bytes) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of a text, in blocks that end at white space."""
         at = 0
@@ -159,6 +163,7 @@ def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
             types = [b.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()][: 5 + with_ids]
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names)
+        encoder.forget()
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, PIECES.format(kind=kind) + (", ids binary" if with_ids else ""))
