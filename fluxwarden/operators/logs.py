@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+import base64
+import gzip
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from . import ordered
 
 TAIL_LINES = 5000
 # Fixed value: closes a telemetry document that was cut off by an interrupt.
 TELEMETRY_REPAIR = "]}]}}"
+# The reports of the host monitor, in the order in which they are merged.
+TELEMETRY_SOURCES = ("iostat", "pidstat", "sar")
 
 
 def log_tail(lines: DataFrame, n: int = TAIL_LINES, bits: int = ordered.BLOCK_BITS) -> DataFrame:
@@ -23,6 +31,31 @@ def bundle(tails: DataFrame) -> DataFrame:
     )
 
 
+def error_bundle(tails: DataFrame, keys: list[str], version: str) -> DataFrame:
+    """One document ``{file: text}`` for each key from ``(*keys, file, line_no, line)``: its JSON compressed, in base64,
+    under the version's name.
+
+    A document holds what ``log_tail`` left of each file, so its size follows from the number of files. A row without a
+    file or line is left out; a key without any row has no document.
+    """
+    texts = tails.filter("file is not null and line is not null").groupBy(*keys, "file").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text")
+    )
+    files = F.array_sort(F.collect_list(F.struct(F.col("file").cast("string").alias("file"), "text")))
+    document = texts.groupBy(*keys).agg(F.to_json(F.map_from_entries(files)).alias("document"))
+    return document.mapInArrow(_with_gzip, StructType([*document.schema.fields, StructField("encoded", StringType())])).select(
+        *keys, "document", F.create_map(F.lit(version), F.col("encoded")).alias("error_logs")
+    )
+
+
+def _with_gzip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spark has no function that compresses a value; the time stamp of the header is 0, so equal logs give equal bytes."""
+    for batch in batches:
+        texts = batch.column("document").to_pylist()
+        packed = [base64.b64encode(gzip.compress(t.encode(), mtime=0)).decode() for t in texts]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(packed, pa.string())], names=[*batch.schema.names, "encoded"])
+
+
 def numbered_lines(raw: DataFrame) -> DataFrame:
     """Number the lines of text files read in splits.
 
@@ -56,3 +89,28 @@ def parse_telemetry(texts: DataFrame) -> DataFrame:
             .otherwise("raw"),
         }
     ).drop("_intact")
+
+
+def merge_telemetry(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """The monitor's reports of each key as one document, from ``(*keys, source, body)``.
+
+    Each source is a member: its JSON, repaired where it was cut off, or the list of its raw lines where that fails; a
+    source without a row, or of an empty or null body, is an empty object. Several bodies of one source are told apart by
+    ``seq`` if there is such a column; the newest counts, ties by the greater text.
+    """
+    order = [F.col("seq")] if "seq" in texts.columns else []
+    newest = texts.filter(F.col("source").isin(*TELEMETRY_SOURCES)).groupBy(*keys, "source").agg(
+        F.max(F.struct(*order, F.coalesce("body", F.lit("")).alias("body")))["body"].alias("body")
+    )
+    parsed = parse_telemetry(newest)
+    lines: Column = F.to_json(F.filter(F.split("body", "(?<=\n)"), lambda line: line != ""))
+    member = F.when(F.trim("body") == "", F.lit("{}")).when(F.col("parsed").isNotNull(), F.to_json("parsed")).otherwise(lines)
+    found = [
+        F.coalesce(F.max(F.when(F.col("source") == s, F.col("_member"))), F.lit("{}")) for s in TELEMETRY_SOURCES
+    ]
+    states = [F.coalesce(F.max(F.when(F.col("source") == s, F.col("_state"))), F.lit("missing")).alias(f"{s}_state") for s in TELEMETRY_SOURCES]
+    pairs = [F.concat(F.lit(f'"{s}":'), text) for s, text in zip(TELEMETRY_SOURCES, found)]
+    state = F.when(F.trim("body") == "", "empty").otherwise(F.col("state"))
+    return parsed.withColumns({"_member": member, "_state": state}).groupBy(*keys).agg(
+        F.concat(F.lit("{"), F.concat_ws(",", *pairs), F.lit("}")).alias("monitor"), *states
+    )

@@ -95,6 +95,12 @@ select o_orderkey as run_seq, o_custkey % 20 as site_id, o_orderstatus <> 'F' as
 select event_id, concat('{{"sysstat":{{"hosts":[{{"statistics":[{{"v":', cast(user_id as string), '}}',
  case event_id % 3 when 0 then ']}}]}}}}' when 1 then '' else ',{{' end) as body
 from events""",
+    "telemetry_reports": """
+select user_id % 5 as host, cast(floor(({us}) / 3600000000) as bigint) as hour, event_id as seq,
+ case event_id % 4 when 0 then 'iostat' when 1 then 'pidstat' when 2 then 'sar' else 'other' end as source,
+ case when event_id % 13 = 0 then '' else concat('{{"sysstat":{{"hosts":[{{"statistics":[{{"v":', cast(user_id as string), '}}',
+ case event_id % 3 when 0 then ']}}]}}}}' when 1 then '' else ',{{' end) end as body
+from events where event_id % 4 < 3""",
     "device_activity": """
 select user_id % 40 as device_no, cast(floor(({us}) / 3600000000) as bigint) as hour_bucket,
  cast(floor(({us}) / 86400000000) as bigint) as day_bucket,

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import alerts as A, report as RP, rules as RU, scoring as SC, training as TR
-from ..sources import stores
+from ..operators import alerts as A, components as CO, report as RP, rules as RU, scoring as SC, training as TR
+from ..session import shared_dir
+from ..sources import components as CS, stores
 from .fixtures import OWN_ORIGIN, duck, table, view
 
 
@@ -68,6 +71,32 @@ def reset_devices(spark, sf):
     )
 
 
+def reset_components(spark, sf):
+    """The registry in one store of four tables; what the audit rejects and what is new starts over in one commit. Returns
+    all devices' components as the commit after it shows them."""
+    state = view(spark, sf, "registry_state").withColumn("device_mac", F.col("device_no").cast("string"))
+    none = F.array().cast("array<bigint>")
+    own = F.when(F.col("model_equals_base"), "base").otherwise(F.concat(F.lit("model-"), "device_mac"))
+    store = CS.ComponentStore(spark, f"{shared_dir(spark)}/components-{uuid.uuid4().hex}", buckets=16)
+    store.commit({
+        "status": CS.put(state.select(
+            "device_mac", F.col("current_size").cast("long").alias("current_size"), none.alias("distinct_hour_buckets"),
+            none.alias("distinct_day_buckets"), "progress", F.lit("as it was").alias("description"),
+        )),
+        "thresholds": CS.put(state.filter("threshold is not null").select("device_mac", "threshold", "version")),
+        "models": CS.put(state.filter("has_model").select("device_mac", own.alias("digest"), F.array(F.lit(1.0)).alias("params"))),
+        "datasets": CS.put(state.filter("has_dataset and current_size > 0").select("device_mac", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("x"))),
+    })
+    customers = table(spark, sf, "orders").select((F.col("o_custkey") * 2).cast("string").alias("device_mac"))
+    CO.ensure(store, customers, "base", [0.5])
+    rows = store.read("datasets").groupBy("device_mac").agg(F.count(F.lit(1)).alias("n_rows"))
+    after = store.read("status").join(store.read("thresholds"), "device_mac", "full").join(store.read("models"), "device_mac", "full")
+    return after.join(rows, "device_mac", "full").select(
+        "device_mac", "progress", "current_size", "description", "threshold", "version", "digest",
+        F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
+    )
+
+
 def new_devices(spark, sf):
     registry = table(spark, sf, "orders").select(F.col("o_custkey").alias("device_no"))
     return TR.new_devices(registry, view(spark, sf, "registry_state").filter("progress > 0"), "device_no")
@@ -221,7 +250,7 @@ def error_streak(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        activity_buckets, training_progress, decide_action, registry_audit, reset_devices, new_devices, stale_thresholds,
+        activity_buckets, training_progress, decide_action, registry_audit, reset_devices, reset_components, new_devices, stale_thresholds,
         threshold_upsert, status_upsert, status_view, rules_table, rule_select, rule_count, rule_match, alert_device,
         alert_rollup, alert_rollup_compat, verdict, device_report, device_report_join, error_streak,
     )
@@ -282,6 +311,19 @@ ORACLE = {
     "registry_audit": f"with {duck('registry_state')}, {_AUDIT} select device_no, reason from audited",
     "reset_devices": f"""with {duck('registry_state')}, {_AUDIT} select device_no, 0.0001::double as threshold, '0.9' as version, 'base' as digest,
  0::bigint as current_size, 0::double as progress, 'Data collection ongoing' as description from audited where reason is not null""",
+    "reset_components": f"""with {duck('registry_state')},
+stored as (select *, has_dataset and current_size > 0 as kept, case when has_model then case when model_equals_base then 'base' else 'model-' || device_no end end as digest,
+ case when current_size = 0 then true when has_dataset then true end as readable from registry_state),
+judged as (select *, case when threshold is null then true
+  when progress = 1 then digest is null or digest = 'base' or threshold = 0.0001
+  when progress > 0 then current_size = 0 or readable is null
+  else current_size <> 0 or readable is null or digest is null or digest <> 'base' or threshold <> 0.0001 end as broken from stored),
+fresh as (select distinct o_custkey * 2 as device_no from orders where o_custkey * 2 not in (select device_no from registry_state)
+ union select device_no from judged where broken)
+select device_no::varchar as device_mac, 0::double as progress, 0::bigint as current_size, 'Data collection ongoing' as description,
+ 0.0001::double as threshold, '0.9' as version, 'base' as digest, 0::bigint as n_rows from fresh
+union all select device_no::varchar, progress::double, current_size::bigint, 'as it was', threshold::double, version, digest, case when kept then 3 else 0 end::bigint
+from judged where not broken""",
     "new_devices": f"""with {duck('registry_state')} select distinct o_custkey as device_no from orders
  where o_custkey not in (select device_no from registry_state where progress > 0)""",
     "stale_thresholds": f"""with {duck('registry_state')} select device_no, case when threshold is null then 'reset' when version = '0.9' then 'keep'

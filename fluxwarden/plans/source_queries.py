@@ -101,6 +101,30 @@ def telemetry_parse(spark, sf):
     return parsed.select("event_id", "state", value.alias("v"))
 
 
+def telemetry_merge(spark, sf):
+    """Three reports a host and hour; the newest of each counts."""
+    rows = view(spark, sf, "telemetry_reports")
+    merged = logs.merge_telemetry(rows, ["host", "hour"])
+    path = {s: f"$.{s}.sysstat.hosts[0].statistics[0].v" for s in logs.TELEMETRY_SOURCES}
+    document = F.parse_json("monitor")
+    return merged.select(
+        "host", "hour", *[f"{s}_state" for s in path],
+        *[F.try_variant_get(document, p, "long").alias(f"{s}_v") for s, p in path.items()],
+        *[F.try_variant_get(document, f"$.{s}[0]", "string").alias(f"{s}_raw") for s in path],
+    )
+
+
+def log_bundle(spark, sf):
+    """One document for each site of ten files: the last five lines of every file, packed and read back."""
+    tails = logs.log_tail(_doc_lines(spark, sf), 5).withColumn("site", F.floor(F.col("file") / 10))
+    packed = logs.error_bundle(tails, ["site"], "v1").select("site", F.explode("error_logs").alias("version", "encoded"), "document")
+    pages = F.from_json("document", "map<string,string>")
+    return packed.select(
+        "site", "version", F.explode(pages).alias("file", "text"),
+        F.startswith("encoded", F.lit("H4sIAAAAAAA")).cast("long").alias("is_gzip"),  # its magic number, without a time
+    )
+
+
 def _doc_lines(spark, sf):
     docs = table(spark, sf, "documents")
     return docs.select(F.col("doc_id").alias("file"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).withColumn(
@@ -180,7 +204,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         capture_admission, read_captures, capture_ranges, decode_frames, packets_from_captures, device_registry, read_alerts,
-        telemetry_parse, log_tail, log_lines, artifact_digest, feature_store_append, model_store, score_windows,
+        telemetry_parse, telemetry_merge, log_tail, log_bundle, log_lines, artifact_digest, feature_store_append, model_store, score_windows,
         score_windows_sql, report_sink,
     )
 }
@@ -247,6 +271,17 @@ select event_id, case when json_valid(body) then 'intact' when json_valid(body |
  case when json_valid(body) then (body::json -> '$.sysstat.hosts[0].statistics[0].v')::bigint
   when json_valid(body || ']}}]}}}}') then ((body || ']}}]}}}}')::json -> '$.sysstat.hosts[0].statistics[0].v')::bigint end as v
 from telemetry_text""",
+    "telemetry_merge": f"""with {duck('telemetry_reports')}, newest as (
+ select host, hour, source, arg_max(body, struct_pack(a := seq, b := body)) as body from telemetry_reports group by all),
+parsed as (select *, case when body = '' then 'empty' when json_valid(body) then 'intact' when json_valid(body || ']}}]}}}}') then 'repaired'
+  else 'raw' end as state, case when body = '' then null when json_valid(body) then body when json_valid(body || ']}}]}}}}') then body || ']}}]}}}}' end as doc
+ from newest),
+vals as (select *, (doc::json -> '$.sysstat.hosts[0].statistics[0].v')::bigint as v, case when state = 'raw' then body end as raw from parsed)
+select host, hour, {', '.join(f"""coalesce(max(state) filter (source = '{s}'), 'missing') as {s}_state, max(v) filter (source = '{s}') as {s}_v,
+ max(raw) filter (source = '{s}') as {s}_raw""" for s in logs.TELEMETRY_SOURCES)} from vals group by 1, 2""",
+    "log_bundle": f"""with {_DOC_LINES}, last as (select *, row_number() over (partition by file order by line_no desc) as rn from lines)
+select file // 10 as site, 'v1' as version, file::varchar as file, string_agg(line, chr(10) order by line_no) as text, 1::bigint as is_gzip
+from last where rn <= 5 group by 1, 2, 3""",
     "log_tail": f"""with {_DOC_LINES}, last as (select *, row_number() over (partition by file order by line_no desc) as rn from lines),
 texts as (select file, string_agg(line, chr(10) order by line_no) as text from last where rn <= 5 group by 1)
 select file, text, base64(encode(text)) as encoded from texts""",
