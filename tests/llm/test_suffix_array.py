@@ -104,3 +104,22 @@ def test_edges(spark):
     assert kept.count() == len(rows)
     assert all(r.n_chars == len(r.text or "") for r in kept.collect())
     assert suffix_array.dedup(frame.limit(0)).count() == 0
+
+
+def test_hot_anchors_make_few_rows(spark, monkeypatch):
+    """A passage in many texts: no table has more than some rows for each anchor, whatever the windows at its edges."""
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    passage = word(900)
+    texts = [word(500) + passage + word(500) for _ in range(200)] + [passage]
+    counts, keep = [], suffix_array.Stages.keep
+
+    def counted(self, df):
+        kept = keep(self, df)
+        counts.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(suffix_array.Stages, "keep", counted)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert ours(suffix_array.dedup(frame, hot=20)) == sorted((k, *x) for k, x in enumerate(plain(texts, 400)))
+    assert max(counts) <= 2 * counts[0]  # the first table holds the anchors
