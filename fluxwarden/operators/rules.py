@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import scalars as S
+from ..session import cut_lineage
 
 # Keyword patterns of the rule selection.
 EXCLUDED = (
@@ -61,7 +62,10 @@ def decode_content(text: Column) -> Column:
 
 def parse_rules(lines: DataFrame) -> DataFrame:
     """Rule lines to columns, with contents as an array of structs and the
-    metadata as a map."""
+    metadata as a map. Lines are short and slow to parse, so the few splits of
+    their files are dealt to more tasks first."""
+    spark = lines.sparkSession
+    lines = lines.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
     line = F.col("line")
     names = ["action", "proto", "src", "src_port", "direction", "dst", "dst_port"]
     header = [F.regexp_extract(line, _HEADER, i + 1).alias(n) for i, n in enumerate(names)]
@@ -265,7 +269,8 @@ def match_events(events: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def rule_hits(events: DataFrame, rules: DataFrame) -> DataFrame:
-    """Matched events per rule: counted per body, then given to its rules."""
-    per_body = match_events(events, rules).groupBy("body").agg(F.count(F.lit(1)).alias("hits"))
-    keyed = rules.filter(_usable()).withColumn("body", _body_key())
+    """Matched events per rule: counted per body, then given to its rules. The
+    rules are parsed once."""
+    keyed = cut_lineage(rules.filter(_usable()).select("rule_sid", "msg", "enabled", *BODY, _body_key().alias("body")))
+    per_body = match_events(events, keyed).groupBy("body").agg(F.count(F.lit(1)).alias("hits"))
     return keyed.join(per_body, "body").select("rule_sid", "msg", "hits")

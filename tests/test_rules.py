@@ -67,3 +67,13 @@ def test_few_candidates_and_shared_work(spark):
     assert R.candidates(events, R.rule_bodies(rules)).count() < 3 * 200
     counts = {r.rule_sid: r.hits for r in R.rule_hits(events, rules).collect()}
     assert counts[7] == counts[100] == counts[102] == 11 and counts[49] == 1
+
+
+def test_rules_are_parsed_once_by_many_tasks(spark):
+    lines = spark.createDataFrame([(rule(i, 'content:"a";'),) for i in range(50)], "line string").coalesce(1)
+    rules = R.parse_rules(lines)
+    assert rules.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    events = spark.createDataFrame([(1, "tcp", HOME, OUT, 1, 2, {"p": "a"})], EVENTS)
+    found = R.rule_hits(events, rules)
+    assert "regexp_extract" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.rule_sid, r.msg, r.hits) for r in found.collect()) == [(i, f"m{i}", 1) for i in range(50)]
