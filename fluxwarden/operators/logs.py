@@ -4,11 +4,8 @@ from __future__ import annotations
 
 import base64
 import gzip
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from . import ordered
 
@@ -43,17 +40,14 @@ def error_bundle(tails: DataFrame, keys: list[str], version: str) -> DataFrame:
     )
     files = F.array_sort(F.collect_list(F.struct(F.col("file").cast("string").alias("file"), "text")))
     document = texts.groupBy(*keys).agg(F.to_json(F.map_from_entries(files)).alias("document"))
-    return document.mapInArrow(_with_gzip, StructType([*document.schema.fields, StructField("encoded", StringType())])).select(
-        *keys, "document", F.create_map(F.lit(version), F.col("encoded")).alias("error_logs")
-    )
+    # rows go to Python a hundred at a time; an Arrow batch would hold ten thousand documents of any size
+    encoded = F.udf(_gzip, "string", useArrow=False)("document")
+    return document.select(*keys, "document", F.create_map(F.lit(version), encoded).alias("error_logs"))
 
 
-def _with_gzip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _gzip(text: str) -> str:
     """Spark has no function that compresses a value; the time stamp of the header is 0, so equal logs give equal bytes."""
-    for batch in batches:
-        texts = batch.column("document").to_pylist()
-        packed = [base64.b64encode(gzip.compress(t.encode(), mtime=0)).decode() for t in texts]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(packed, pa.string())], names=[*batch.schema.names, "encoded"])
+    return base64.b64encode(gzip.compress(text.encode(), mtime=0)).decode()
 
 
 def numbered_lines(raw: DataFrame) -> DataFrame:

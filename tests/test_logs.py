@@ -43,3 +43,10 @@ def test_a_bundle_unpacks_to_the_tails(spark):
             assert got == {"a": {"a.log": text, "z.log": ""}, "b": {"b.log": text}}
     whole = logs.error_bundle(rows, ["site"], "v9").collect()
     assert {r.site for r in whole} == {"a", "b"} and len(json.loads(min(whole, key=lambda r: r.site).document)["a.log"].split("\n")) == 9
+
+
+def test_documents_are_packed_a_few_at_a_time(spark):
+    """No Arrow batch of ten thousand documents: rows pass through Python a hundred at a time."""
+    rows = spark.createDataFrame([(1, "a", 0, "x")], "site int, file string, line_no long, line string")
+    plan = logs.error_bundle(rows, ["site"], "v")._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "Arrow" not in plan
