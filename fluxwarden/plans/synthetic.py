@@ -60,7 +60,7 @@ def frames_of_packets(packets: DataFrame) -> DataFrame:
 
 def capture_files(raw_frames: DataFrame) -> DataFrame:
     """Capture contents of up to 500 consecutive frames each, in turn with every magic."""
-    df = raw_frames.withColumn("file_id", F.floor(F.col("seq") / FRAMES_PER_CAPTURE))
+    df = raw_frames.withColumn("file_id", F.floor(F.col("seq") / FRAMES_PER_CAPTURE)).repartition("file_id")  # narrow rows, before their bytes
     kinds = list(MAGICS.items())
     kind = F.pmod(F.col("file_id"), F.lit(len(kinds)))
 

@@ -8,6 +8,9 @@ into the range. Where this leads to one place only, that is the range's first he
 (captures inside captures, zeros, headers with odd values) the range follows the records from the file's beginning,
 which is slow and always right. So ranges never disagree about a record, and no value holds more than a record.
 
+A task reads several ranges one after another where there are many small ones: up to ``RANGE_BYTES``, as long as each
+core has some tasks.
+
 ``seq`` is the byte offset of a record's header: it orders the frames of a capture and does not depend on the ranges.
 
 Files are opened with ``pyarrow.fs``, which reads local paths and the usual remote schemes.
@@ -18,6 +21,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +32,8 @@ from .captures import BATCH_FRAMES, EXTRA_HEADER, FILE_HEADER, MAGICS, RECORD_HE
 
 RANGE_BYTES = 64 << 20
 BUFFER_BYTES = 4 << 20
+OPEN_BYTES = 1 << 16  # opening a file takes as long as reading this much
+TASKS_PER_CORE = 4
 MAX_FRAME_BYTES = 1 << 18  # no capture tool writes more of a frame
 MAX_DAYS = 400
 #: Frames have about 2^9 bytes, so blocks of 2^25 offsets hold about 2^16 of them (``operators.ordered``).
@@ -36,7 +42,7 @@ SCHEMA = "capture_id string, path string, seq bigint, ts_us bigint, frame binary
 
 
 @dataclass
-class Range(InputPartition):
+class Range:
     path: str
     capture_id: str
     start: int
@@ -44,6 +50,13 @@ class Range(InputPartition):
     size: int
 
 
+@dataclass
+class Ranges(InputPartition):
+    """Ranges that one task reads, those of a file next to each other."""
+
+    ranges: list[Range]
+
+
 class Buffer:
     """Bytes of a file at any place, read in large pieces."""
 
@@ -146,8 +159,9 @@ class CaptureReader(DataSourceReader):
         self.path = options["path"]
         self.range_bytes = int(options.get("rangeBytes", RANGE_BYTES))
         self.max_frame = int(options.get("maxFrameBytes", MAX_FRAME_BYTES))
+        self.tasks = TASKS_PER_CORE * int(options.get("cores", 1 << 30))  # cores unknown: a task for each range
 
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[Ranges]:
         from pyarrow import fs
 
         system, root = _filesystem(self.path)
@@ -160,10 +174,30 @@ class CaptureReader(DataSourceReader):
             capture_id = f"{(f.mtime_ns or 0) // 1_000_000:014d} {f.path}"
             for start in range(0, max(f.size, 1), self.range_bytes):
                 ranges.append(Range(f.path, capture_id, start, min(start + self.range_bytes, f.size), f.size))
-        return ranges
-
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+        return self._dealt(ranges)
+
+    def _dealt(self, ranges: list[Range]) -> list[Ranges]:
+        cost = [r.end - r.start + (0 if r.start else OPEN_BYTES) for r in ranges]
+        goal = max(self.range_bytes, min(RANGE_BYTES, sum(cost) // self.tasks))
+        parts, held = [], goal
+        for r, c in zip(ranges, cost):
+            if held + c > goal:
+                parts.append(Ranges([]))
+                held = 0
+            parts[-1].ranges.append(r)
+            held += c
+        return parts
+
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         system, _ = _filesystem(self.path)
+        for path, own in groupby(partition.ranges, key=lambda r: r.path):
+            with system.open_input_file(path) as file:
+                buffer = None
+                for r in own:
+                    buffer = buffer or Buffer(file, r.size)
+                    yield from self._read(r, buffer)
+
+    def _read(self, partition: Range, buffer: Buffer) -> Iterator[pa.RecordBatch]:
         names = ["capture_id", "path", "seq", "ts_us", "frame", "read_error"]
         kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
 
@@ -171,21 +205,19 @@ class CaptureReader(DataSourceReader):
             columns = [[partition.capture_id] * len(rows), [partition.path] * len(rows), *map(list, zip(*rows))]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
-        with system.open_input_file(partition.path) as file:
-            buffer = Buffer(file, partition.size)
-            if buffer.get(0, 4).hex().upper() not in MAGICS or partition.size < FILE_HEADER:
-                if not partition.start:
-                    yield batch([(0, None, None, "unknown file format")])
-                return
-            rows, held = [], 0
-            for row in Records(buffer, self.max_frame).frames(partition.start, partition.end):
-                rows.append(row)
-                held += len(row[2] or b"")
-                if len(rows) == BATCH_FRAMES or held > BUFFER_BYTES:
-                    yield batch(rows)
-                    rows, held = [], 0
-            if rows:
+        if buffer.get(0, 4).hex().upper() not in MAGICS or partition.size < FILE_HEADER:
+            if not partition.start:
+                yield batch([(0, None, None, "unknown file format")])
+            return
+        rows, held = [], 0
+        for row in Records(buffer, self.max_frame).frames(partition.start, partition.end):
+            rows.append(row)
+            held += len(row[2] or b"")
+            if len(rows) == BATCH_FRAMES or held > BUFFER_BYTES:
                 yield batch(rows)
+                rows, held = [], 0
+        if rows:
+            yield batch(rows)
 
 
 class CaptureRanges(DataSource):
@@ -204,7 +236,8 @@ def read_ranges(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES,
     """Frames of the capture files of a folder (or of one file), ``SCHEMA``. A record longer than ``max_frame`` is an
     error of its file."""
     spark.dataSource.register(CaptureRanges)
-    return spark.read.format("capture_ranges").options(rangeBytes=range_bytes, maxFrameBytes=max_frame).load(path)
+    options = {"rangeBytes": range_bytes, "maxFrameBytes": max_frame, "cores": spark.sparkContext.defaultParallelism}
+    return spark.read.format("capture_ranges").options(**options).load(path)
 
 
 def write_files(captures: DataFrame, root: str) -> None:

@@ -99,3 +99,18 @@ def test_ranges_to_packets(spark, tmp_path):
     kept = P.packets_from_frames(frames, registry)
     assert kept.count() == 20 * sum(d == "accepted" and n not in ("udp incoming",) for n, (_, d) in FRAMES.items())
     assert kept.select("capture_id").distinct().count() == 1
+
+
+def test_small_ranges_share_tasks(spark, tmp_path):
+    rng, expected = random.Random(8), {}
+    for k in range(40):
+        content = build("D4C3B2A1", some_frames(rng, 30)) if k % 10 else b"GIF8" + bytes(3000)
+        (tmp_path / f"{k:02}.pcap").write_bytes(content)
+        expected[f"{k:02}.pcap"] = content
+    df = R.read_ranges(spark, str(tmp_path), 1_000, 1_000)
+    ranges = sum(-(-len(c) // 1_000) for c in expected.values())
+    assert df.rdd.getNumPartitions() <= 2 * R.TASKS_PER_CORE * spark.sparkContext.defaultParallelism < ranges // 5
+    named = df.withColumn("name", F.regexp_extract("path", "([^/]*)$", 1)).cache()
+    for name in ("01.pcap", "11.pcap", "39.pcap"):
+        assert in_order(named.filter(F.col("name") == name)) == whole(spark, expected[name])
+    assert named.filter("read_error is null").count() == 36 * 30
