@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -123,3 +124,48 @@ def test_hot_anchors_make_few_rows(spark, monkeypatch):
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     assert ours(suffix_array.dedup(frame, hot=20)) == sorted((k, *x) for k, x in enumerate(plain(texts, 400)))
     assert max(counts) <= 2 * counts[0]  # the first table holds the anchors
+
+
+def plain_words(texts, length, words):
+    """What ``plain`` returns, by counting every window of bytes and every window of words of every text."""
+    data = [(t or "").encode() for t in texts]
+    places = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0d]+", d)] for d in data]
+    windows = [[tuple(d.split()[i:i + words]) for i in range(len(p) - words + 1)] for d, p in zip(data, places)]
+    seen = Counter(w for x in windows for w in x)
+    strings = Counter(d[i:i + length] for d in data for i in range(len(d) - length + 1))
+    for d, place, found in zip(data, places, windows):
+        mask = np.zeros(len(d), bool)
+        for i, w in enumerate(found):
+            if seen[w] > 1:
+                mask[place[i][0]:place[i + words - 1][1]] = True
+        for i in range(len(d) - length + 1):
+            if strings[d[i:i + length]] > 1:
+                mask[i:i + length] = True
+        spans = int(mask[:1].sum()) + int((mask[1:] & ~mask[:-1]).sum())
+        yield len(d), int(mask.sum()), spans, hashlib.sha256(bytes(b for b, m in zip(d, mask) if not m)).hexdigest()
+
+
+@pytest.mark.parametrize("length,words,hot", [(40, 5, 4000), (400, 6, 4000), (30, 12, 1), (400, 20, 3)])
+def test_passages_of_words(spark, length, words, hot):
+    rng = random.Random(words)
+    vocabulary = ["".join(rng.choices("abcdé", k=rng.randint(1, 7))) for _ in range(200)] + ["a", "b"]
+    some = lambda n: "".join(w + rng.choice([" ", " ", "\n", "  \t"]) for w in rng.choices(vocabulary, k=n))
+    passages = [some(rng.randint(words - 2, 3 * words)) for _ in range(6)] + ["a " * (2 * words), "a b " * words]
+    texts = ["".join(rng.choice([some(rng.randint(0, 2 * words)), rng.choice(passages)]) for _ in range(rng.randint(0, 6))) for _ in range(80)]
+    texts += [texts[0], " ".join(texts[1].split()), " " + passages[0], passages[0] + " ", passages[0], passages[0], "a", "a", None, None]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    expected = sorted((k, *x) for k, x in enumerate(plain_words(texts, length, words)))
+    assert ours(suffix_array.dedup(frame, length=length, hot=hot, words=words)) == expected
+    kept = {r.doc_id: r.text for r in suffix_array.remove_repeats(frame, length=length, hot=hot, words=words).collect()}
+    assert {k: hashlib.sha256((t or "").encode()).hexdigest() for k, t in kept.items()} == {k: x for k, _, _, _, x in expected}
+
+
+def test_passage_below_400_bytes(spark):
+    """Over 50 words in under 400 bytes, in two texts: no string of 400 bytes repeats, the passage of words does."""
+    passage = " ".join(f"word{k}" for k in range(55))
+    texts = [f"here begins {passage} and goes on", f"another {passage}\nends", "no passage"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert len(passage) < 400
+    assert sorted(r.text for r in suffix_array.remove_repeats(frame).collect()) == sorted(texts)
+    assert sorted(r.text for r in suffix_array.remove_repeats(frame, words=50).collect()) == ["another \nends", "here begins  and goes on", "no passage"]
+    assert sorted(r.text for r in suffix_array.remove_repeats(frame, words=56).collect()) == sorted(texts)
