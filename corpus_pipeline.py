@@ -23,8 +23,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the strings of 400 bytes that also start elsewhere. Every document stays, if need be empty."""
-    return suffix_array.remove_repeats(docs)
+    """Texts without the strings of 400 bytes and the passages of over 50 words that also start elsewhere. Every document
+    stays, if need be empty."""
+    return suffix_array.remove_repeats(docs, words=51)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -65,6 +65,19 @@ def test_repeats_by_brute_force(steps):
         assert after[i].n_chars == len(after[i].text)
 
 
+def test_passages_of_over_50_words(spark):
+    """The stage removes them from all documents that have them, below 400 bytes too, and leaves 50 words alone."""
+    passage = " ".join(f"word{k}" for k in range(51))
+    shorter = " ".join(f"other{k}" for k in range(50))
+    texts = [f"here begins {passage} and goes on", f"another {passage}\nends", f"a {shorter} z", f"b {shorter} y", None]
+    rows = [(k, t, "en", "s", len(t or "")) for k, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert len(passage) < 400 and len(shorter) < 396
+    after = by_id(corpus_pipeline.drop_repeats(spark, frame, SF))
+    assert [after[k].text for k in range(5)] == ["here begins  and goes on", "another \nends", *texts[2:]]
+    assert [after[k].n_chars for k in range(5)] == [24, 13, len(texts[2]), len(texts[3]), 0]
+
+
 def test_mixing_keeps_every_document(steps):
     before, rows = by_id(steps[3]), steps[4].collect()
     assert {r.doc_id for r in rows} == set(before)
